@@ -120,142 +120,85 @@ def plain_searches(
 
 RIDE = "struct<route_id:bigint,p:int,q:int>"
 
+# Where this round's riders board: labels the round before improved that can still
+# lead to a wanted answer, at every position of their place on any route.
+_BOARDS = """
+WITH bound AS (
+  SELECT s.sid, l.cost + s.slack AS bound
+  FROM {labels} l JOIN {searches} s ON l.sid = s.sid AND l.place = s.dst
+  WHERE l.through IS NULL)
+SELECT l.sid, r.route_id, r.sec, r.pos, r.hop * s.hop_weight AS own,
+       s.dst, s.transfer, s.hop_weight, s.step, s.tier, s.banned, s.ban, b.bound,
+       l.cost + if(l.through IS NULL, s.transfer, 0) AS board, l.rides
+FROM {labels} l
+JOIN {searches} s ON l.sid = s.sid
+LEFT JOIN bound b ON l.sid = b.sid
+JOIN {rail} r ON l.place = r.place
+WHERE l.fresh = 1
+  AND (l.through IS NULL OR l.through = r.route_id)
+  AND (b.bound IS NULL OR l.cost + if(l.through IS NULL, s.transfer, 0) <= b.bound)
+"""
 
-def _live(labels: DataFrame, searches: DataFrame, number: int) -> DataFrame:
-    """Labels improved in round ``number`` that can still lead to a wanted answer."""
-    bound = (
-        labels.where("through is null")
-        .join(searches.select("sid", F.col("dst").alias("place")), ["sid", "place"])
-        .select("sid", F.col("cost").alias("bound"))
-    )
-    return (
-        labels.where(F.col("round") == number)
-        .join(searches.select("sid", *PARAMS), "sid")
-        .join(bound, "sid", "left")
-        .withColumn("bound", F.col("bound") + F.col("slack"))
-        .where("bound is null or cost + if(through is null, transfer, 0) <= bound")
-    )
-
-
-def _round(
-    labels: DataFrame, live: DataFrame, rail: DataFrame, deltas: DataFrame | None, number: int
-) -> DataFrame:
-    group = ["sid", "route_id", "sec"]
-    boards = (
-        live.join(rail.select("route_id", "sec", "pos", "place", "hop"), "place")
-        .where("through is null or through = route_id")
-        .withColumn("board", F.expr("cost + if(through is null, transfer, 0)"))
-    )
-    scope = (
-        boards.select(*group, *PARAMS, "bound")
-        .distinct()
-        .join(rail, ["route_id", "sec"])
-    )
-    if deltas is not None:
-        scope = scope.join(deltas, ["sid", "a", "b"], "left")
-        extra = F.coalesce("delta", F.lit(0))
-    else:
-        extra = F.lit(0)
-    toll = F.when(F.col("a").isNull(), 0).otherwise(
-        F.col("step")
-        + extra
-        + F.when(F.col("tier").isNotNull() & (F.col("prio") > F.col("tier")), F.col("ban")).otherwise(0)
-        + F.when(
-            F.array_contains("banned", F.col("a")) | F.array_contains("banned", F.col("b")), F.col("ban")
-        ).otherwise(0)
-    )
-    track = scope.select(
-        *group,
-        "pos",
-        F.lit(0).alias("kind"),
-        "place",
-        "joint",
-        "dst",
-        "transfer",
-        "bound",
-        (F.col("hop") * F.col("hop_weight")).cast("long").alias("hop"),
-        (F.col("hop") * F.col("hop_weight")).cast("long").alias("own"),
-        toll.cast("long").alias("toll"),
-        F.lit(None).cast("long").alias("board"),
-        F.expr(f"cast(null as array<{RIDE}>)").alias("rides"),
-    )
-    riders = boards.select(
-        *group,
-        "pos",
-        F.lit(1).alias("kind"),
-        F.lit(None).cast("long").alias("place"),
-        F.lit(False).alias("joint"),
-        "dst",
-        "transfer",
-        "bound",
-        F.lit(0).cast("long").alias("hop"),
-        (F.col("hop") * F.col("hop_weight")).cast("long").alias("own"),
-        F.lit(0).cast("long").alias("toll"),
-        "board",
-        "rides",
-    )
-    onward = Window.partitionBy(*group).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*group).orderBy(F.desc("pos"), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    best = lambda value: F.when(
-        F.col("kind") == 1, F.struct(value.alias("c"), F.col("rides"), F.col("pos").alias("p"))
-    )
-    rode = (
-        track.unionByName(riders)
-        .withColumn("f", F.sum(F.col("hop") + F.col("toll")).over(onward))
-        .withColumn("g", F.col("f") - F.col("own"))
-        .withColumn("fore", F.min(best(F.col("board") - F.col("f"))).over(onward))
-        .withColumn("aft", F.min(best(F.col("board") + F.col("g"))).over(back))
-        .where("kind = 0")
-    )
-    reached = (
-        rode.select(
-            "sid",
-            "place",
-            "route_id",
-            "joint",
-            "pos",
-            "dst",
-            "transfer",
-            "bound",
-            F.explode(
-                F.array(
-                    F.struct((F.col("f") + F.col("fore.c")).alias("cost"), F.col("fore.rides").alias("rides"), F.col("fore.p").alias("p")),
-                    F.struct((F.col("aft.c") - F.col("g")).alias("cost"), F.col("aft.rides").alias("rides"), F.col("aft.p").alias("p")),
-                )
-            ).alias("way"),
-        )
-        .where("way.cost is not null")
-        .where("bound is null or way.cost + if(joint or place <=> dst, 0, transfer) <= bound")
-        .select(
-            "sid",
-            "place",
-            F.explode(
-                F.when(F.col("joint"), F.array(F.lit(None).cast("long"), F.col("route_id"))).otherwise(
-                    F.array(F.lit(None).cast("long"))
-                )
-            ).alias("through"),
-            F.col("way.cost").alias("cost"),
-            F.lit(number).alias("round"),
-            F.concat(
-                "way.rides",
-                F.array(F.struct("route_id", F.col("way.p").alias("p"), F.col("pos").alias("q"))),
-            ).alias("rides"),
-        )
-    )
-    return (
-        labels.unionByName(reached)
-        .groupBy("sid", "place", "through")
-        .agg(F.min(F.struct("cost", "round", "rides")).alias("l"))
-        .select("sid", "place", "through", "l.cost", "l.round", "l.rides")
-    )
+# One round. `f` is the cost of riding from the section's first stop up to and into a
+# stop, `g` the same without entering it, so a ride from p on to q costs f(q) - f(p) and
+# a ride from p back to q costs g(p) - g(q).
+_ROUND = """
+WITH scope AS (
+  SELECT sid, route_id, sec, any_value(dst) AS dst, any_value(transfer) AS transfer,
+         any_value(hop_weight) AS hop_weight, any_value(step) AS step, any_value(tier) AS tier,
+         any_value(banned) AS banned, any_value(ban) AS ban, any_value(bound) AS bound
+  FROM {boards} GROUP BY sid, route_id, sec),
+line AS (
+  SELECT c.sid, c.route_id, c.sec, r.pos, 0 AS kind, r.place, r.joint, c.dst, c.transfer, c.bound,
+         r.hop * c.hop_weight AS hop, r.hop * c.hop_weight AS own,
+         if(r.a IS NULL, 0, c.step + {extra}
+            + if(c.tier IS NOT NULL AND r.prio > c.tier, c.ban, 0)
+            + if(array_contains(c.banned, r.a) OR array_contains(c.banned, r.b), c.ban, 0)) AS toll,
+         CAST(NULL AS BIGINT) AS board, CAST(NULL AS array<""" + RIDE + """>) AS rides
+  FROM scope c JOIN {rail} r ON c.route_id = r.route_id AND c.sec = r.sec {delta_join}
+  UNION ALL
+  SELECT sid, route_id, sec, pos, 1, NULL, false, dst, transfer, bound, 0, own, 0, board, rides
+  FROM {boards}),
+ridden AS (
+  SELECT *, sum(hop + toll) OVER onward AS f FROM line
+  WINDOW onward AS (PARTITION BY sid, route_id, sec ORDER BY pos, kind
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+best AS (
+  SELECT *,
+         min(if(kind = 1, struct(board - f AS c, rides, pos AS p), NULL)) OVER onward AS fore,
+         min(if(kind = 1, struct(board + f - own AS c, rides, pos AS p), NULL)) OVER back AS aft
+  FROM ridden
+  WINDOW onward AS (PARTITION BY sid, route_id, sec ORDER BY pos, kind
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         back AS (PARTITION BY sid, route_id, sec ORDER BY pos DESC, kind
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+reached AS (
+  SELECT sid, place, route_id, joint, pos, dst, transfer, bound,
+         explode(array(struct(f + fore.c AS cost, fore.rides AS rides, fore.p AS p),
+                       struct(aft.c - f + own AS cost, aft.rides AS rides, aft.p AS p))) AS way
+  FROM best WHERE kind = 0),
+arrived AS (
+  SELECT sid, place,
+         explode(if(joint, array(CAST(NULL AS BIGINT), route_id), array(CAST(NULL AS BIGINT)))) AS through,
+         way.cost AS cost, 1 AS fresh,
+         concat(way.rides, array(struct(route_id, way.p AS p, pos AS q))) AS rides
+  FROM reached
+  WHERE way.cost IS NOT NULL
+    AND (bound IS NULL OR way.cost + if(joint OR place <=> dst, 0, transfer) <= bound))
+SELECT sid, place, through, l.cost, l.fresh, l.rides
+FROM (SELECT sid, place, through, min(struct(cost, fresh, rides)) AS l
+      FROM (SELECT sid, place, through, cost, 0 AS fresh, rides FROM {labels} UNION ALL SELECT * FROM arrived)
+      GROUP BY sid, place, through)
+"""
 
 
 def search(
     searches: DataFrame, rail: DataFrame, deltas: DataFrame | None = None, max_rounds: int = 100_000
 ) -> DataFrame:
-    """Labels ``(sid, place, through, cost, round, rides)`` of all searches, settled.
+    """Labels ``(sid, place, through, cost, fresh, rides)`` of all searches, settled.
 
-    ``through`` is null for the label of the place itself.
+    ``through`` is null for the label of the place itself. ``fresh`` marks labels the last
+    round improved; no literal changes from round to round, so compiled code is reused.
     """
     labels = cut(
         searches.select(
@@ -263,18 +206,31 @@ def search(
             F.col("src").alias("place"),
             F.lit(None).cast("long").alias("through"),
             F.lit(0).cast("long").alias("cost"),
-            F.lit(0).alias("round"),
+            F.lit(1).alias("fresh"),
             F.expr(f"cast(array() as array<{RIDE}>)").alias("rides"),
         ).join(rail.select("place").distinct(), "place", "left_semi")
-        .select("sid", "place", "through", "cost", "round", "rides"),
+        .select("sid", "place", "through", "cost", "fresh", "rides"),
         "labels",
     )
-    for number in range(1, max_rounds + 1):
-        live = _live(labels, searches, number - 1)
-        if live.isEmpty():
+    spark = searches.sparkSession
+    costly = {} if deltas is None else {"deltas": deltas}
+    joined = "" if deltas is None else (
+        "LEFT JOIN {deltas} d ON c.sid = d.sid AND r.a = d.a AND r.b = d.b"
+    )
+    step = _ROUND.replace("{delta_join}", joined).replace(
+        "{extra}", "0" if deltas is None else "coalesce(d.delta, 0)"
+    )
+    for _ in range(max_rounds):
+        boards = cut(
+            spark.sql(_BOARDS, labels=labels, searches=searches, rail=rail), "boards"
+        )
+        if boards.isEmpty():
+            retire(boards)
             return labels
-        grown = cut(_round(labels, live, rail, deltas, number), "labels")
-        retire(labels)
+        grown = cut(
+            spark.sql(step, boards=boards, labels=labels, rail=rail, **costly), "labels"
+        )
+        retire(labels, boards)
         labels = grown
     raise NotConverged(f"search still improving after {max_rounds} rounds")
 
