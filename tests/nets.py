@@ -50,3 +50,42 @@ CONTAIN = ["A B C D E F G"]
 TIER_RIDE = ["S u1 u2 u3 T", "S u1", "u1 u2", "u2 u3", "u3 T", "u1 z1", "u2 z2", "u3 z3"]
 ROAD = ["H g1 g2 P n1 T", "Q P n1 T", "g1 z1", "g2 z2"]
 EXCLUDE = ["S M T", "S N T", "M zm", "N zn"]
+ARENA = ["S a1 a2 a3 T", "S q1 q2 q3 T", "S b1 b2", "b2 b3 T", "S c1 c2", "c2 c3 T"] + [
+    f"{x}{i} z{x}{i}" for x in "aqbc" for i in (1, 2, 3)
+]
+LEG_ARENA = ["P p1 S", "S q1 q2 q3 T", "S b1 b2", "b2 b3 T", "p1 zp1"] + [f"{x}{i} z{x}{i}" for x in "qb" for i in (1, 2, 3)]
+DETOUR = ["A B C D E F G", "B R G"]
+TWO_ROUTES = ["X A B", "B C Y"]
+SHORTCUT = ["A C", "A p q C", "A x", "C y"]
+LINE = ["S P Q E"]
+
+NAMED = {
+    "spec": (SPEC, []),
+    "parallel": (PARALLEL, []),
+    "waypoint": (WAYPOINT, []),
+    "through": (THROUGH, []),
+    "two": (TWO_STOP, []),
+    "onway": (START_ON_WAY, []),
+    "spur": (SPUR, []),
+    "conc": (CONC, []),
+    "priority": (PRIORITY, [(4, "S", "T", 1)]),
+    "pair": (PAIR, []),
+    "road": (ROAD, [(0, "P", "T", 3)]),
+    "arena": (ARENA, [(1, "S", "T", 1)]),
+    "legarena": (LEG_ARENA, [(1, "S", "T", 2)]),
+    "exclude": (EXCLUDE, []),
+    "detour": (DETOUR, []),
+    "tworoutes": (TWO_ROUTES, []),
+    "shortcut": (SHORTCUT, []),
+    "line": (LINE, []),
+}
+
+
+def atlas(spark):
+    """All named networks side by side; a place is written ``network.place``."""
+    routes, marks = [], []
+    for name, (lines, rated) in NAMED.items():
+        first = len(routes)
+        routes += [" ".join(f"{name}.{p}" for p in line.split()) for line in lines]
+        marks += [(first + r, f"{name}.{s}", f"{name}.{e}", p) for r, s, e, p in rated]
+    return Net(spark, routes, marks)
