@@ -4,7 +4,7 @@ from nets import atlas
 from pyspark.sql import functions as F
 
 from waymesh.operators import legs, pool, select
-from waymesh.session import cut
+from waymesh.session import together
 
 TRIPS = {
     "spec": [("K", "M"), ("A", "A"), ("A", "ZZZ")],
@@ -40,7 +40,8 @@ def world(spark):
         [(f"{k} {s} {e} via {v}", ids(k, s), ids(k, e), [ids(k, p) for p in v.split()]) for k, s, e, v in VIA],
         "qid string, start_place long, end_place long, via array<bigint>",
     )
-    return n, ready, cut(pool.candidate_pool(trips, ready)), legs.via_pool(via, ready)
+    plain, through = together(lambda: pool.candidate_pool(trips, ready), lambda: legs.via_pool(via, ready))
+    return n, ready, plain, through
 
 
 def shown(n, rows):

@@ -19,7 +19,7 @@ from waymesh.operators import search as se
 from waymesh.operators.pool import Prepared, candidate_pool
 from waymesh.operators.score import RUNS_TYPE, chain_lengths, memberships, ranking_score
 from waymesh.operators.select import select_diverse
-from waymesh.session import cut
+from waymesh.session import cut, together
 
 
 def normalise_via(trips: DataFrame) -> DataFrame:
@@ -285,12 +285,12 @@ def find_routes(
 ) -> DataFrame:
     """Up to ``k`` diverse routes for every trip ``(qid, start_place, end_place, via)``."""
     trips = cut(normalise_via(trips.select("qid", "start_place", "end_place", "via")), "trips")
-    plain = candidate_pool(trips.where(F.size("via") == 0).drop("via"), ready, crossroads_only)
-    direct = select_diverse(one_leg(plain), k, hard_tier=hard_tier, closed=closed)
-    through = select_diverse(
-        via_pool(trips.where(F.size("via") > 0), ready, crossroads_only), k, WAYPOINT_MAX_STRETCH,
-        hard_tier=hard_tier, closed=closed,
+    plain, via = together(
+        lambda: candidate_pool(trips.where(F.size("via") == 0).drop("via"), ready, crossroads_only),
+        lambda: via_pool(trips.where(F.size("via") > 0), ready, crossroads_only),
     )
+    direct = select_diverse(one_leg(plain), k, hard_tier=hard_tier, closed=closed)
+    through = select_diverse(via, k, WAYPOINT_MAX_STRETCH, hard_tier=hard_tier, closed=closed)
     return _together(direct, through)
 
 

@@ -29,7 +29,7 @@ from waymesh.operators import marks as mk
 from waymesh.operators import search as se
 
 from waymesh.operators.score import Network, ranking_score, score
-from waymesh.session import cut
+from waymesh.session import cut, together
 
 T = TRANSFER_WEIGHT
 
@@ -206,29 +206,32 @@ def generate(trips: DataFrame, ready: Prepared, diversity: int = DIVERSITY_ROUND
         found_so_far.append(rows)
         used.append(_used(rows))
 
-    favoured = _profile(
-        ends.join(kept, ["qid", "dir"]), ready, "ride", F.col("route_id").cast("string"), step=T
-    )
-    favoured = cut(favoured, "favoured")
-    again, costs = diverse(2)
-    second = [favoured, again]
-    second += [_profile(ends, ready, f"generic{t}", step=T, slack=T, tier=F.lit(t)) for t in tiers]
-    wave2, labels2, pool2 = _run(second, ready, _exempt(favoured, ready, "route_id").unionByName(costs))
-    note(pool2, 2)
-    pools.append(pool2.where("kind in ('ride', 'again2')"))
-
-    third, exempt3 = [], None
-    if ready.worst:
-        third, exempt3 = _floored(ends, kept, favoured, generic, wave2, labels2, pool2, pools, ready)
-    for number in range(3, diversity + 1):
-        again, costs = diverse(number)
-        profiles = [again]
-        if number == 3 and third:
-            profiles += third
-            costs = costs.unionByName(exempt3)
-        _, _, rows = _run(profiles, ready, costs)
-        note(rows, number)
-        pools.append(rows)
+    def by_artery() -> list[DataFrame]:
+        got: list[DataFrame] = []
+        favoured = cut(
+            _profile(ends.join(kept, ["qid", "dir"]), ready, "ride", F.col("route_id").cast("string"), step=T),
+            "favoured",
+        )
+        second = [favoured]
+        second += [_profile(ends, ready, f"generic{t}", step=T, slack=T, tier=F.lit(t)) for t in tiers]
+        wave2, labels2, pool2 = _run(second, ready, _exempt(favoured, ready, "route_id"))
+        got.append(pool2.where("kind = 'ride'"))
+        if ready.worst:
+            searches, exempt = _floored(ends, kept, favoured, generic, wave2, labels2, pool2, got, ready)
+            got.append(_run([searches], ready, exempt)[2])
+        return got
+
+    def by_detour() -> list[DataFrame]:
+        got: list[DataFrame] = []
+        for number in range(2, diversity + 1):
+            again, costs = diverse(number)
+            rows = _run([again], ready, costs)[2]
+            note(rows, number)
+            got.append(rows)
+        return got
+
+    for rows in together(by_artery, by_detour):
+        pools += rows
 
     out = None
     for rows in pools:
@@ -296,7 +299,7 @@ def _floored(ends, kept, favoured, generic, wave2, labels2, pool2, pools, ready)
         ),
         "floored",
     )
-    return [searches], _exempt(searches, ready, "route_id")
+    return searches, _exempt(searches, ready, "route_id")
 
 
 def dedup(rows: DataFrame) -> DataFrame:
@@ -382,10 +385,12 @@ def candidate_pool(trips: DataFrame, ready: Prepared, crossroads_only: bool = Tr
         ready.net.degree.select(F.col("place").alias("start_place")), "start_place", "left_semi"
     ).select("qid", F.lit("still").alias("cid"), F.array("start_place").alias("stops"))
     ends = moving.select("qid", F.array("start_place", "end_place").alias("points"))
-    c_min = cut(
-        se.point_distance(ends, ready.net, ready.rail, crossroads_only).select("qid", "c_min"), "c_min"
+    c_min, chains = together(
+        lambda: cut(
+            se.point_distance(ends, ready.net, ready.rail, crossroads_only).select("qid", "c_min"), "c_min"
+        ),
+        lambda: cut(generate(moving, ready).unionByName(still), "candidates"),
     )
-    chains = cut(generate(moving, ready).unionByName(still), "candidates")
     pool = cut(with_score(chains, c_min, ready, crossroads_only), "pool")
     extra = cut(pair_chains(moving, pool, ready), "extra")
     return cut(pool.unionByName(with_score(extra, c_min, ready, crossroads_only)), "pool")

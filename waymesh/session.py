@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,5 +80,15 @@ def retire(*frames: DataFrame | None) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def together(*jobs: Callable):
+    """Run independent jobs at the same time from separate threads, results in order.
+
+    Rounds of one job leave executors idle while the next is planned; another job fills
+    the gap.
+    """
+    with ThreadPoolExecutor(max_workers=len(jobs)) as crew:
+        return [done.result() for done in [crew.submit(job) for job in jobs]]
+
+
 class NotConverged(RuntimeError):
     """A round limit was reached; a partial answer is never returned."""
