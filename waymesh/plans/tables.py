@@ -184,3 +184,7 @@ od AS (SELECT CAST(supp.qid AS VARCHAR) AS qid, h.head AS start_place, t.tail AS
        FROM supp JOIN orders USING (o_orderkey) JOIN span USING (o_custkey)
        JOIN ends h ON h.route_id = supp.o_orderkey JOIN ends t ON t.route_id = span.r1
        JOIN ends v ON v.route_id = span.r0)"""
+
+
+def places_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nw.places_of(stops(spark, sf_dir))
