@@ -150,9 +150,9 @@ def _(spark, sf):
              JOIN lasts ON lasts.route_id = x.route_id
              JOIN takers t ON t.a = least(x.place, y.place) AND t.b = greatest(x.place, y.place)
              WHERE y.pos - x.pos - 1 <= budget),
- both_ways AS (SELECT s AS u, e AS v, k, route_id, 0 AS dir, pos AS at, pos FROM stretch
+ both_ways AS (SELECT s AS u, e AS v, k, route_id, 0 AS dir, pos AS seat, pos FROM stretch
           UNION ALL SELECT e, s, k, route_id, 1, last - pos - k, pos FROM stretch),
- pick AS (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY k, route_id, dir, at) AS rn FROM both_ways)
+ pick AS (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY k, route_id, dir, seat) AS rn FROM both_ways)
  SELECT u, v, string_agg(s.place, '>' ORDER BY CASE WHEN dir = 0 THEN s.pos ELSE -s.pos END) AS way
  FROM pick JOIN stops s ON s.route_id = pick.route_id AND s.pos > pick.pos AND s.pos < pick.pos + k
  WHERE rn = 1 GROUP BY u, v""")
@@ -247,11 +247,9 @@ def _(spark, sf):
 def _documents(spark, sf) -> DataFrame:
     """The trees as documents, heads nested under their tail."""
     t = sh.trees(spark, sf)
-    body = F.struct("places", "marks", "priority")
     head = t.where("size(node_path) = 1").groupBy("route_idx").agg(
         F.expr("transform(array_sort(collect_list(struct(node_path[0] as i, places, marks))), e -> struct(e.places, e.marks))").alias("branches")
     )
-    del body
     return t.where("size(node_path) = 0").join(head, "route_idx", "left").select(
         "route_idx", F.to_json(F.struct("places", "marks", "priority", "branches")).alias("doc")
     )
@@ -293,7 +291,7 @@ def _(spark, sf):
 @query("b5_resolved_marks", TREES + """,
  num AS (SELECT route_id, node, n, rating, row_number() OVER (ORDER BY route_id, node) - 1 AS rid FROM corridors),
  tail AS (SELECT route_id, arg_min(place, pos) AS head, arg_max(place, pos) AS last, count(*) AS own FROM node_stops WHERE node = -1 GROUP BY 1),
- lead AS (SELECT route_id, node, arg_min(place, at) AS head FROM leaf_stops GROUP BY 1, 2)
+ lead AS (SELECT route_id, node, arg_min(place, seat) AS head FROM leaf_stops GROUP BY 1, 2)
  SELECT rid AS route_id, CAST(CASE WHEN rating = 1 THEN t.head ELSE l.head END AS VARCHAR) AS start_place,
         CAST(t.last AS VARCHAR) AS end_place, rating AS priority
  FROM num JOIN tail t USING (route_id) JOIN lead l USING (route_id, node)
@@ -336,8 +334,8 @@ def _(spark, sf):
     )
 
 
-@query("b10_frame_range", TREES + """ SELECT CAST(route_id AS INT) AS route_idx, string_agg(place, '>' ORDER BY at) AS places
- FROM leaf_stops WHERE node = 1 AND at <= 2 GROUP BY 1""")
+@query("b10_frame_range", TREES + """ SELECT CAST(route_id AS INT) AS route_idx, string_agg(place, '>' ORDER BY seat) AS places
+ FROM leaf_stops WHERE node = 1 AND seat <= 2 GROUP BY 1""")
 def _(spark, sf):
     t = sh.trees(spark, sf)
     ranges = t.where("size(node_path) = 1 and node_path[0] = 1").select(
@@ -459,7 +457,7 @@ def _(spark, sf):
 def _raw_trees(spark, sf) -> DataFrame:
     """The trees with faults: urgent orders carry a mark beyond their end, high ones two
     that overlap, and the last stop of an order of rating 3 repeats its first."""
-    t = sh.trees(spark, sf).drop("rating") if "rating" in sh.trees(spark, sf).columns else sh.trees(spark, sf)
+    t = sh.trees(spark, sf)
     o = tb.table(spark, sf, "orders").select(F.col("o_orderkey").cast("int").alias("route_idx"), "o_orderpriority")
     root = F.size("node_path") == 0
     return t.join(o, "route_idx").select(
@@ -820,9 +818,6 @@ def _(spark, sf):
 
 _FLAGS = """,
  flag AS (SELECT place, CAST(degree >= 3 AS INT) AS x FROM degree)"""
-_CROSS = OD + _FLAGS + """,
- cross_d AS (SELECT src, place, x AS cost FROM (SELECT DISTINCT start_place AS src FROM od) JOIN flag ON place = src)"""
-
 
 def _walk(name: str, seeds: str, step: str) -> str:
     """A label-correcting walk over neighbours, keyed by source and place."""
@@ -858,6 +853,12 @@ def _(spark, sf):
 
 # --- search ---------------------------------------------------------------
 
+_COMP = """comp(place, component) USING KEY (place) AS (
+   SELECT place, place AS component FROM places
+   UNION
+   SELECT n.neighbour, min(c.component) FROM comp c JOIN near n ON n.place = c.place
+   JOIN recurring.comp r ON r.place = n.neighbour WHERE c.component < r.component GROUP BY 1)"""
+
 _H1 = OD + _FLAGS + """, st(qid, place, route, cost) USING KEY (qid, place, route) AS (
    SELECT qid, start_place AS place, CAST(-1 AS BIGINT) AS route, CAST(0 AS BIGINT) AS cost FROM od
    UNION
@@ -908,7 +909,7 @@ def _(spark, sf):
     return _cheapest(spark, sf, step=ch.TRANSFER_WEIGHT, banned=F.col("via"), ban=sh.ready(spark, sf).ban)
 
 
-@query("h6_routeless_edges")
+@query("h6_routeless_edges", OD + _FLAGS + "," + _walk("w", "SELECT DISTINCT start_place AS src, start_place AS place, CAST(0 AS BIGINT) AS cost FROM od", "f.x + 1000000") + " SELECT qid, w.cost FROM od JOIN w ON w.src = start_place AND w.place = end_place")
 def _(spark, sf):
     # The network's edges without their routes: every edge is its own.
     n = sh.net(spark, sf)
@@ -941,7 +942,9 @@ def _(spark, sf):
     return legs.normalise_via(doubled).select("qid", txt("via").alias("via"))
 
 
-@query("h14_best_order")
+@query("h14_best_order", OD + "," + _COMP + """ SELECT qid, start_place || '>' || via_place || '>' || end_place AS points FROM od
+ JOIN comp x ON x.place = start_place JOIN comp y ON y.place = via_place JOIN comp z ON z.place = end_place
+ WHERE via_place NOT IN (start_place, end_place) AND x.component = y.component AND y.component = z.component""")
 def _(spark, sf):
     asked = legs.normalise_via(sh.trips(spark, sf)).where(F.size("via") > 0)
     return legs.best_order(cut(asked, "via"), sh.ready(spark, sf)).select("qid", txt("points").alias("points"))
@@ -1106,11 +1109,6 @@ def _(spark, sf):
 
 # --- diagnostics ----------------------------------------------------------
 
-_COMP = """comp(place, component) USING KEY (place) AS (
-   SELECT place, place AS component FROM places
-   UNION
-   SELECT n.neighbour, min(c.component) FROM comp c JOIN near n ON n.place = c.place
-   JOIN recurring.comp r ON r.place = n.neighbour WHERE c.component < r.component GROUP BY 1)"""
 COMP = EDGES + "," + _COMP
 
 
@@ -1210,14 +1208,6 @@ def _typed(spark, sf) -> DataFrame:
     ).distinct().select(F.col("query").alias("qid"), "query")
 
 
-_L = """WITH opt0 AS (SELECT p_partkey AS ord, p_name || ' ' || p_brand || ' ' || p_partkey AS option FROM part),
- opt AS (SELECT ord, option, lower(trim(regexp_replace(option, '\\s+', ' ', 'g'))) AS o FROM opt0),
- opts AS (SELECT *, trim(regexp_replace(o, '["''\\-./()]', '', 'g')) AS os FROM opt),
- ask0 AS (SELECT substr(p_name, 1, 2) || substr(p_name, 4) AS query FROM part UNION SELECT p_brand FROM part UNION SELECT p_type FROM part),
- ask1 AS (SELECT query, lower(trim(regexp_replace(query, '\\s+', ' ', 'g'))) AS q FROM ask0),
- ask AS (SELECT *, trim(regexp_replace(q, '["''\\-./()]', '', 'g')) AS qs FROM ask1)"""
-
-
 @query("l1_normalised", r"""SELECT page_id, trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[֑-ׇ]', '', 'g'),
  '["“”„״´`]', '"', 'g'), '[''’‘׳]', '''', 'g'), '[-–—־]', '-', 'g'), '\s+', ' ', 'g'))) AS name FROM pages""")
 def _(spark, sf):
@@ -1229,15 +1219,16 @@ def _(spark, sf):
     return tb.table(spark, sf, "pages").select("page_id", tx.strip_punct(F.col("url")).alias("name"))
 
 
-@query("l3_substring_distance", _L + """ SELECT query, p_name AS name, least(len(qs), min(levenshtein(qs, substr(t, s, l)))) AS distance
- FROM ask, (SELECT DISTINCT p_name, p_name AS t FROM part), range(1, 13) r(s), range(1, 13) k(l) WHERE s + l - 1 <= len(t) GROUP BY 1, 2, len(qs)""")
+@query("l3_substring_distance", """WITH pair AS (SELECT DISTINCT substr(p_name, 1, 2) || substr(p_name, 4) AS query, p_name || ' ' || p_type AS name FROM part)
+ SELECT query, lower(name) AS name, least(len(query), min(levenshtein(lower(query), substr(lower(name), s, l)))) AS distance
+ FROM pair, range(1, 30) r(s), range(1, 16) k(l) WHERE s + l - 1 <= len(name) GROUP BY 1, 2""")
 def _(spark, sf):
-    named = tb.table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
-    asked = names._asked(_typed(spark, sf))
-    # Both vocabularies are a few dozen words at any size; every word meets every word.
-    return asked.join(named, F.lit(True)).select(
-        "query", "name", tx.substring_distance("q_strip", "name").cast("long").alias("distance")
-    )
+    # Every part name typed with a letter missing, against the name it was meant for.
+    pairs = tb.table(spark, sf, "part").select(
+        F.concat(F.substring("p_name", 1, 2), F.expr("substring(p_name, 4)")).alias("query"),
+        F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("name"),
+    ).distinct().withColumn("typed", F.lower("query"))
+    return pairs.select("query", "name", tx.substring_distance("typed", "name").cast("long").alias("distance"))
 
 
 @query("l5_fuzzy_filter")

@@ -148,9 +148,9 @@ nodes AS (SELECT route_id, node, n, rating, count(*) AS own, string_agg(place, '
           FROM node_stops GROUP BY 1, 2, 3, 4),
 leaf AS (SELECT * FROM nodes WHERE (n >= 3 AND node >= 0) OR n < 3),
 leaf_stops AS (SELECT l.route_id, l.node, l.n, l.rating, s.place,
-                      row_number() OVER (PARTITION BY l.route_id, l.node ORDER BY s.pos) - 1 AS at
+                      row_number() OVER (PARTITION BY l.route_id, l.node ORDER BY s.pos) - 1 AS seat
                FROM leaf l JOIN node_stops s ON s.route_id = l.route_id AND (s.node = l.node OR s.node = -1)),
-corridors AS (SELECT route_id, node, n, rating, string_agg(place, '>' ORDER BY at) AS places, count(*) AS len
+corridors AS (SELECT route_id, node, n, rating, string_agg(place, '>' ORDER BY seat) AS places, count(*) AS len
               FROM leaf_stops GROUP BY 1, 2, 3, 4)"""
 
 
@@ -191,14 +191,14 @@ def splices(spark, sf_dir) -> DataFrame:
 SPLICES_SQL = """
 heads AS (SELECT route_id, place // 100 AS cust FROM stops WHERE pos = 0),
 after AS (SELECT route_id, lead(route_id) OVER (PARTITION BY cust ORDER BY route_id) AS next_id FROM heads),
-meet AS (SELECT a.route_id, a.next_id, s.pos, t.pos AS at,
+meet AS (SELECT a.route_id, a.next_id, s.pos, t.pos AS seat,
                 row_number() OVER (PARTITION BY a.route_id ORDER BY s.pos) AS rn
          FROM after a JOIN stops s ON s.route_id = a.route_id JOIN stops t ON t.route_id = a.next_id AND t.place = s.place),
-joint AS (SELECT route_id, next_id, pos, at FROM meet WHERE rn = 1),
+joint AS (SELECT route_id, next_id, pos, seat FROM meet WHERE rn = 1),
 chain_stops AS (
   SELECT s.route_id AS chain_id, s.pos AS k, s.place FROM stops s JOIN joint j ON s.route_id = j.route_id AND s.pos <= j.pos
   UNION ALL
-  SELECT j.route_id, j.pos + t.pos - j.at, t.place FROM joint j JOIN stops t ON t.route_id = j.next_id AND t.pos > j.at),
+  SELECT j.route_id, j.pos + t.pos - j.seat, t.place FROM joint j JOIN stops t ON t.route_id = j.next_id AND t.pos > j.seat),
 chain_hops AS (SELECT x.chain_id, x.k AS i, least(x.place, y.place) AS a, greatest(x.place, y.place) AS b
                FROM chain_stops x JOIN chain_stops y ON x.chain_id = y.chain_id AND y.k = x.k + 1),
 member AS (SELECT h.chain_id, h.i, e.route_id FROM chain_hops h JOIN edges e USING (a, b)),
