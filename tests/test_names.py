@@ -54,6 +54,19 @@ def test_score_tiers(spark):
     assert got == [s for _, _, s in pairs]
 
 
+def test_both_distances_agree(spark):
+    import itertools
+
+    texts = ["".join(t) for n in range(0, 5) for t in itertools.product("ab", repeat=n)]
+    rows = [(p, t) for p in ("abb", "aabba", "abcabc") for t in texts]
+    df = spark.createDataFrame(rows, "p string, t string").select(
+        "p", "t", tx.substring_distance("p", "t").alias("exact"), tx.near_distance("p", "t").alias("near"),
+        tx.typo_budget(F.length("p")).alias("d"),
+    )
+    for r in df.collect():
+        assert r.near == (r.exact if r.exact <= r.d else None), r
+
+
 def test_filters_agree_with_all_pairs(spark):
     words = ["golan", "golani", "galon", "north gate", "gate-north", "tel aviv", "tel", "telem", "מ. גולני", "x", "a-b", "ab"]
     asked = ["golan", "glan", "gate n", "tel avv", "t", "-", " ", "zzz", "north", "ab", "גולני", "no ga"]

@@ -153,12 +153,28 @@ def substring_distance(pattern: str, text: str) -> Column:
     )
 
 
+# A part of the text within d edits of the pattern is at most d letters shorter or longer,
+# so only such parts are compared; null when none is near enough.
+_WITHIN = """
+array_min(flatten(transform(sequence(1, greatest(length({t}), 1)), s -> transform(
+  sequence(length({p}) - {d}, length({p}) + {d}),
+  n -> nullif(levenshtein({p}, substring({t}, s, n), {d}), -1)))))"""
+
+
+def near_distance(pattern: str, text: str) -> Column:
+    """L3 within the typo budget: the same distance where it is affordable, else null."""
+    d = f"greatest(1, cast(floor(length({pattern}) * {TYPO_SHARE} + 0.5) as int))"
+    return F.expr(
+        f"if(length({pattern}) >= {TYPO_MIN_LENGTH}, {_WITHIN.format(p=pattern, t=text, d=d)}, null)"
+    )
+
+
 def match_score(q_norm: str, o_norm: str, q_strip: str, o_strip: str) -> Column:
     """L4: how well a name matches, from columns already normalised and stripped."""
     q, o, qs, os_ = F.col(q_norm), F.col(o_norm), F.col(q_strip), F.col(o_strip)
     at, bare_at = F.instr(o, q), F.instr(os_, qs)
     word = F.exists(F.split(os_, " "), lambda w: F.startswith(w, qs))
-    far = substring_distance(q_strip, o_strip)
+    far = near_distance(q_strip, o_strip)
     return (
         F.when(q == "", 0)
         .when(o == q, EXACT)
@@ -167,10 +183,7 @@ def match_score(q_norm: str, o_norm: str, q_strip: str, o_strip: str) -> Column:
         .when(at > 0, INSIDE - (at - 1))
         .when(bare_at > 0, BARE_INSIDE - (bare_at - 1))
         .when(word, WORD_PREFIX)
-        .when(
-            (F.length(qs) >= TYPO_MIN_LENGTH) & (far <= typo_budget(F.length(qs))), TYPO - far * TYPO_STEP
-        )
-        .otherwise(-1)
+        .otherwise(F.coalesce(TYPO - far * TYPO_STEP, F.lit(-1)))
         .cast("int")
     )
 
