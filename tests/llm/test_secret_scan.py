@@ -55,7 +55,7 @@ def test_checksums_decide():
 
 
 def test_whole_table_like_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     rows = ss.scan_secrets(docs).collect()
     assert len(rows) == len(texts)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from waymesh.llm.secret_scan import scan_secrets
+from waymesh.llm.sharding import assign_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,3 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_secret_scan(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_minimax_shards(spark, sf_dir):
+    return assign_shards(table(spark, sf_dir, "documents"))
