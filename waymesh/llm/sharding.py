@@ -77,17 +77,22 @@ class Order:
 
 
 def split_blocks(groups: DataFrame, windows: list[tuple[int, int]]) -> list[Block]:
-    """The groups within ``windows`` of keys as blocks of even key ranges, ``BLOCKS`` in all."""
+    """The groups within disjoint ``windows`` of keys, each cut to at least two even key ranges."""
     each = max(2, BLOCKS // len(windows))
-    key, block, inside = F.col("key"), F.lit(None).cast("long"), F.lit(False)
-    for i, (first, last) in enumerate(windows):
+
+    def number(lo: int, hi: int) -> Column:
+        """Binary search among the windows, as nested conditions."""
+        if hi - lo > 1:
+            middle = (lo + hi) // 2
+            return F.when(F.col("key") < F.lit(windows[middle][0]), number(lo, middle)).otherwise(number(middle, hi))
+        first, last = windows[lo]
         width = -(-(last - first + 1) // each)
-        here = key.between(first, last)
-        inside = inside | here
-        block = F.when(here, F.expr(f"{i * each} + (key - {first}L) div {width}L")).otherwise(block)
+        return F.when(F.col("key").between(first, last), F.expr(f"{lo * each} + (key - {first}L) div {width}L"))
+
     sums = (
-        groups.where(inside)
-        .groupBy(block.alias("block"))
+        groups.withColumn("block", number(0, len(windows)))
+        .where("block is not null")
+        .groupBy("block")
         .agg(F.min("key").alias("first"), F.max("key").alias("last"), F.sum("size").alias("size"))
     )
     return sorted((Block(r["first"], r["last"], r["size"]) for r in sums.collect()), key=lambda b: b.first)
@@ -109,15 +114,8 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
             unknown |= {i for i in range(lo, min(hi + 1, len(order.blocks))) if not order.blocks[i].atomic}
         if not unknown:
             break
-        spans = [[min(unknown), min(unknown)]]
-        for i in sorted(unknown)[1:]:
-            if i <= spans[-1][1] + 2:
-                spans[-1][1] = i
-            else:
-                spans.append([i, i])
-        finer = split_blocks(groups, [(order.blocks[a].first, order.blocks[b].last) for a, b in spans])
-        inside = {i for a, b in spans for i in range(a, b + 1)}
-        kept = [b for i, b in enumerate(order.blocks) if i not in inside]
+        finer = split_blocks(groups, [(order.blocks[i].first, order.blocks[i].last) for i in sorted(unknown)])
+        kept = [b for i, b in enumerate(order.blocks) if i not in unknown]
         order = Order(sorted(kept + finer, key=lambda b: b.first))
     starts = [order.ends.index(end) for end in order.surely(sure, shards)[:-1] if end < order.total]
     return sure, [order.blocks[i].first for i in starts]
