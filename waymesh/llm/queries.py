@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waymesh.llm.langid import predict_languages
 from waymesh.llm.secret_scan import scan_secrets
 from waymesh.llm.sharding import assign_shards
 
@@ -30,3 +31,8 @@ def op1_secret_scan(spark, sf_dir):
 @query
 def op4_minimax_shards(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    return predict_languages(table(spark, sf_dir, "documents"))
