@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from waymesh.llm.langid import predict_languages
 from waymesh.llm.secret_scan import scan_secrets
 from waymesh.llm.sharding import assign_shards
+from waymesh.llm.toxicity import predict_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +37,8 @@ def op4_minimax_shards(spark, sf_dir):
 @query
 def op7_language_id(spark, sf_dir):
     return predict_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    return predict_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
