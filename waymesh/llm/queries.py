@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from waymesh.llm.langid import predict_languages
+from waymesh.llm.packing import pack_documents
 from waymesh.llm.secret_scan import scan_secrets
 from waymesh.llm.sharding import assign_shards
 from waymesh.llm.toxicity import predict_toxicity
@@ -42,3 +43,8 @@ def op7_language_id(spark, sf_dir):
 @query
 def op8_toxicity(spark, sf_dir):
     return predict_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"))
