@@ -81,6 +81,6 @@ def test_search_empties_bins():
 def test_groups_meet_again(spark):
     rows = [(i, 0, 0, 10 + i * 7 % 40, i) for i in range(400)]
     pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    got = pk.pack_pieces(pieces, 100, group_pieces=20).collect()
+    got = pk.pack_pieces(pieces, 100, group_pieces=100).collect()
     assert sorted(r.doc_id for r in got) == list(range(400))
     assert gapless(got, 100) <= 1.1 * sum(r[3] for r in rows) / 100
