@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from waymesh.llm.langid import predict_languages
+from waymesh.llm.ngram_join import ngram_join
 from waymesh.llm.packing import pack_documents
 from waymesh.llm.secret_scan import scan_secrets
 from waymesh.llm.sharding import assign_shards
@@ -48,3 +49,8 @@ def op8_toxicity(spark, sf_dir):
 @query
 def op6_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join(table(spark, sf_dir, "documents"))
