@@ -77,15 +77,15 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(33))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams of ``text``.
+def gram_sequence(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Hashes of the word n-grams of ``text`` in order; none if it has no words.
 
     Words are runs of letters and digits, in lower case. Fewer words than ``words`` make one
-    n-gram; a text without words is one of its own, equal to no other text.
+    n-gram.
     """
     found = WORD.findall(text.lower()) if text else []
     if not found:
-        return mixed(np.array([_words.__missing__("\n" + (text or ""))], dtype=np.uint64))
+        return np.zeros(0, dtype=np.uint64)
     if len(_words) > REMEMBERED:
         _words.clear()
     hashes = np.fromiter(map(_words.__getitem__, found), dtype=np.uint64, count=len(found))
@@ -93,7 +93,15 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     value = np.zeros(len(found) - size + 1, dtype=np.uint64)
     for k in range(size):
         value = value * _MULTIPLIER + hashes[k : len(found) - size + 1 + k]
-    return np.unique(mixed(value + np.uint64(size)))
+    return mixed(value + np.uint64(size))
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct n-grams; a text without words is one of its own, equal to no other text."""
+    values = gram_sequence(text, words)
+    if not len(values):
+        return mixed(np.array([_words.__missing__("\n" + (text or ""))], dtype=np.uint64))
+    return np.unique(values)
 
 
 class MinHash:

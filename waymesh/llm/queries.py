@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waymesh.llm.decontaminate import find_leaks
 from waymesh.llm.langid import predict_languages
 from waymesh.llm.ngram_join import ngram_join
 from waymesh.llm.packing import pack_documents
@@ -54,3 +55,8 @@ def op6_best_fit_packing(spark, sf_dir):
 @query
 def op9_ngram_jaccard_join(spark, sf_dir):
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decontamination(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
