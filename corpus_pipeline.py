@@ -1,12 +1,112 @@
-"""Corpus cleaning, stage by stage, on the documents table."""
+"""Corpus cleaning, stage by stage, on the documents table.
+
+Every stage takes ``(spark, docs, sf_dir)``. All but the last return the columns of ``docs``;
+the last packs what is left and returns its pieces. Columns other than ``doc_id``, ``text``,
+``lang`` and ``n_chars`` pass through. Empty tables stay empty.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymesh.llm import decontaminate, langid, secret_scan
+from waymesh.llm.common import bounded_batches, id_and_text, keep_rows
+from waymesh.llm.ngram_join import ngram_join
+from waymesh.llm.packing import pack_documents
+from waymesh.session import cut
+
+#: A document whose likeliest language has a smaller share is rejected, as is one without letters.
+LEAST_SHARE = 0.4
+REDACTED = "[secret]"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language can be told. The model is fitted on the rows' own ``lang``.
+
+    Null and empty texts, and texts without a letter, have none and go. Where no row has a
+    ``lang`` there is nothing to tell languages by, so no document is judged: all stay.
+    """
+    model = langid.fit(id_and_text(docs, "doc_id", "text", "lang"))
+    if not model.languages:
+        return docs
+    shared = spark.sparkContext.broadcast(model)
+
+    def make():
+        rows = langid.WordRows(shared.value)
+
+        def told(text: str | None) -> bool:
+            lang, share = rows.score(text)
+            return lang != langid.UNDETERMINED and share >= LEAST_SHARE
+
+        return told
+
+    return keep_rows(docs, make)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of every group of near duplicates, the document with the smallest id.
+
+    Rows with that id stay; of those that are equal in text as well, one.
+    """
+    kept = ngram_join(docs).where("is_kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    kept = cut(kept, "kept")
+    same = docs["doc_id"].eqNullSafe(F.col("_kept"))
+    if kept.where("_rows > 1").isEmpty():
+        return docs.join(kept, same, "left_semi")
+    once = docs.join(kept.where("_rows = 1"), same, "left_semi")
+    return once.unionByName(docs.join(kept.where("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.drop_leaking(docs, items)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps every document, with each secret replaced and ``n_chars`` counted anew where it changed."""
+    at, schema = docs.columns.index("text"), docs.schema
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        machine = secret_scan.keyword_automaton()
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            clean = [secret_scan.redact(t, machine, REDACTED) for t in texts]
+            columns = list(batch.columns)
+            columns[at] = pa.array(clean, batch.schema.field(at).type)
+            if counted is not None:
+                sizes = batch.column(counted).to_pylist()
+                sizes = [n if c == t else len(c) for n, t, c in zip(sizes, texts, clean, strict=True)]
+                columns[counted] = pa.array(sizes, batch.schema.field(counted).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    bounded_batches(spark)
+    return docs.mapInArrow(run, schema)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of what is left, with its sequence and place there."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", keep_one_of_each_group),
+    ("benchmark_decontamination", drop_contaminated),
+    ("secret_scan", redact_secrets),
+    ("best_fit_packing", pack),
+]
 
-STAGES = []
+#: No stage can be written as SQL: learnt models, MinHash, automata and a tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on ``documents``, each written before the next reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

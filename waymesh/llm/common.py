@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 BATCH_ROWS = 2000
 BATCH_BYTES = 32 << 20
@@ -26,17 +29,42 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Like mapInPandas, but whole numbers stay whole where a column has nulls."""
+    kinds = StructType.fromDDL(schema)
+    out = to_arrow_schema(kinds)
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (b.to_pandas(integer_object_nulls=True) for b in batches if b.num_rows)
+        for frame in run(frames):
+            yield pa.RecordBatch.from_pandas(frame, schema=out, preserve_index=False)
+
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(convert, kinds)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
     """``make()`` runs once in every task and gives the function that maps each batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         work = make()
         for batch in batches:
-            if len(batch):
-                yield work(batch)
+            yield work(batch)
+
+    return map_frames(df, run, schema)
+
+
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[str | None], bool]], text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text passes the test that ``make()`` gives."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            yield batch.filter(pa.array([keep(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     bounded_batches(df.sparkSession)
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def sorted_groups(
@@ -64,8 +92,6 @@ def sorted_groups(
 
         current = None
         for batch in batches:
-            if not len(batch):
-                continue
             keys = batch[key].to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             for lo, hi in zip(starts, np.append(starts[1:], len(keys)), strict=True):
@@ -81,8 +107,7 @@ def sorted_groups(
         if out:
             yield pd.concat(out, ignore_index=True)
 
-    bounded_batches(df.sparkSession)
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return map_frames(df.repartition(key).sortWithinPartitions(key, *order), run, schema)
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

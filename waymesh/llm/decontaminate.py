@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymesh.llm.common import id_and_text, map_rows
+from waymesh.llm.common import id_and_text, keep_rows, map_rows
 from waymesh.llm.ngram_join import THRESHOLD, WORDS, gram_sequence
 
 BITS, BLOCKS = 64, 8
@@ -165,6 +165,27 @@ class Benchmark:
         return [(number, -start, width + WORDS - 1, share) for number, (share, start) in best.items()]
 
 
+def benchmark_parts(items: DataFrame, threshold: float, radius: int, part_items: int):
+    """``items(doc_id, text)`` as broadcasts of about ``part_items`` items each, whatever their number."""
+    items = items.where("text is not null")
+    parts = max(1, -(-items.count() // part_items))
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == part).collect()
+        yield items.sparkSession.sparkContext.broadcast(Benchmark.of([tuple(r) for r in own], threshold, radius))
+
+
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, part_items: int = PART_ITEMS) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark passage is found; null and empty texts stay."""
+    for shared in benchmark_parts(id_and_text(benchmark, "item_id"), threshold, radius, part_items):
+
+        def make(shared=shared):
+            known = shared.value
+            return lambda text: not known.leaks(text)
+
+        docs = keep_rows(docs, make)
+    return docs
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -183,26 +204,21 @@ def find_leaks(
     or items. An item of fewer than five words is found only in a document of just these words.
     Repeated rows of either table give repeated rows; further columns are ignored.
     """
-    items = id_and_text(benchmark, item_col, item_text_col).where("text is not null")
-    parts = max(1, -(-items.count() // part_items))
     texts = id_and_text(docs, id_col, text_col)
     found = None
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == part).collect()
-        shared = docs.sparkSession.sparkContext.broadcast(Benchmark.of([tuple(r) for r in own], threshold, radius))
+    for shared in benchmark_parts(id_and_text(benchmark, item_col, item_text_col), threshold, radius, part_items):
 
         def make(shared=shared):
             known = shared.value
 
             def work(batch: pd.DataFrame) -> pd.DataFrame:
-                ids = batch["doc_id"].astype("Int64").to_numpy(dtype=object)
+                ids = batch["doc_id"].to_numpy(dtype=object)
                 rows = [
                     (doc_id, known.ids[item], start, words, share)
                     for doc_id, text in zip(ids, batch["text"], strict=True)
                     for item, start, words, share in known.leaks(text)
                 ]
-                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "start_word", "n_words", "similarity"])
-                return out.astype({"doc_id": "Int64", "item_id": "Int64"})
+                return pd.DataFrame(rows, columns=["doc_id", "item_id", "start_word", "n_words", "similarity"], dtype=object)
 
             return work
 

@@ -168,7 +168,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
         def work(batch: pd.DataFrame) -> pd.DataFrame:
             out = pd.DataFrame([rows.score(t) for t in batch["text"]], columns=["lang_pred", "score"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object))
+            out.insert(0, "doc_id", batch["doc_id"].to_numpy(dtype=object))
             return out
 
         return work

@@ -144,7 +144,7 @@ def describe(docs: DataFrame, minhash: MinHash, words: int) -> DataFrame:
                 minima = minhash.minima(values)
                 rows.append((set_key(values), minhash.band_hashes(minima), minima.astype(np.uint8).tobytes()))
             out = pd.DataFrame(rows, columns=["key", "bands", "low"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object))
+            out.insert(0, "doc_id", batch["doc_id"].to_numpy(dtype=object))
             return out
 
         return work

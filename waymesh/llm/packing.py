@@ -98,12 +98,12 @@ def cut_pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, id_col: st
 
         def work(batch: pd.DataFrame) -> pd.DataFrame:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].astype("Int64").to_numpy(dtype=object), batch["text"], strict=True):
+            for doc_id, text in zip(batch["doc_id"].to_numpy(dtype=object), batch["text"], strict=True):
                 ids = chunks.document(text)
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     own = ids[at : at + 4 * size]
                     rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-            return pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            return pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"], dtype=object)
 
         return work
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from waymesh.llm.decontaminate import find_leaks
+from waymesh.llm.fingerprint import fingerprint_edits
 from waymesh.llm.langid import predict_languages
 from waymesh.llm.ngram_join import ngram_join
 from waymesh.llm.packing import pack_documents
@@ -60,3 +61,8 @@ def op9_ngram_jaccard_join(spark, sf_dir):
 @query
 def op10_decontamination(spark, sf_dir):
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_quartile_digest(spark, sf_dir):
+    return fingerprint_edits(table(spark, sf_dir, "documents"))

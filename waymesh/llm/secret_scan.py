@@ -147,6 +147,19 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
+def redact(text: str | None, machine: ahocorasick.Automaton, mark: str) -> str | None:
+    """``text`` with every span replaced by ``mark``; spans that overlap are replaced as one."""
+    spans = scan_text(text, machine) if text else []
+    if not spans:
+        return text
+    out, at = [], 0
+    for start, end, _ in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_spans``.
 
@@ -165,7 +178,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 counts = [sum(s[2] == kind for s in base) for kind in BASE_KINDS]
                 rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans)))
             out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object))
+            out.insert(0, "doc_id", batch["doc_id"].to_numpy(dtype=object))
             return out
 
         return work

@@ -234,7 +234,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
                 score = 1 / (1 + math.exp(-max(-30.0, min(30.0, constant + by_total * total + by_density * density))))
                 rows.append((score, int(score >= 0.5), len(hits_of(words, machine)) if total else 0))
             out = pd.DataFrame(rows, columns=["score", "predicted", "n_hits"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object))
+            out.insert(0, "doc_id", batch["doc_id"].to_numpy(dtype=object))
             return out
 
         return work
