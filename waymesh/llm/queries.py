@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waymesh.llm.decontaminate import find_leaks
 from waymesh.llm.fingerprint import fingerprint_edits
+from waymesh.llm.html_extract import extract_pages
 from waymesh.llm.langid import predict_languages
 from waymesh.llm.ngram_join import ngram_join
 from waymesh.llm.packing import pack_documents
@@ -66,3 +67,8 @@ def op10_decontamination(spark, sf_dir):
 @query
 def op5_quartile_digest(spark, sf_dir):
     return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_site_style_tree(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"))
