@@ -158,14 +158,14 @@ def parse(source: str) -> Node:
         stack.append(node)
 
 
-def blocks_of(node: Node, cut_paths: frozenset[str] = frozenset()) -> list[str]:
-    """Texts of the blocks below ``node`` in page order, without marked branches and cut paths."""
+def blocks_of(node: Node, cut_paths: frozenset[str] = frozenset(), marked_too: bool = False) -> list[str]:
+    """Texts of the blocks below ``node`` in page order, without cut paths and marked branches."""
     blocks: list[list[str]] = [[]]
 
     def walk(n: Node) -> None:
         for part in n.parts:
             if isinstance(part, str):
-                if not n.marked:
+                if marked_too or not n.marked:
                     blocks[-1].append(part)
             elif part.path in cut_paths:
                 blocks.append([])

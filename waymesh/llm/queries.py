@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waymesh.llm import warc
 from waymesh.llm.decontaminate import find_leaks
 from waymesh.llm.fingerprint import fingerprint_edits
 from waymesh.llm.html_extract import extract_pages
@@ -72,3 +73,9 @@ def op5_quartile_digest(spark, sf_dir):
 @query
 def op2_site_style_tree(spark, sf_dir):
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_warc_derivatives(spark, sf_dir):
+    responses = warc.responses_of_pages(table(spark, sf_dir, "pages"))
+    return warc.derive(responses).drop("record")
