@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymesh.llm.common import held_out, id_and_text, map_rows
+from waymesh.session import cut, retire
 
 # Look-alikes of other scripts, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -140,27 +141,37 @@ def _counted(rows: DataFrame, units, columns: str = "unit string, toxic int, n l
     )
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon:
-    """A lexicon from ``labelled(doc_id, text, toxic)``, fitted on at most about ``fit_rows`` rows of each label."""
-    known = labelled.where("toxic in (0, 1) and text is not null").select("doc_id", "text", F.col("toxic").cast("int"))
+def sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, float]:
+    """``(text, toxic)`` of about ``fit_rows`` labelled documents of each label, written once.
+
+    The second value is by how much benign rows were thinned more than toxic ones. Documents
+    with several labels are toxic if one says so. The ids that are drawn, never more than about
+    twice ``fit_rows``, are sent to the tasks, so texts are not shuffled.
+    """
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    share = [min(1.0, fit_rows / max(1, sizes.get(label, 0))) for label in (0, 1)]
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    drawn = known.where(lot < F.when(F.col("toxic") == 1, math.ceil(1e6 * share[1])).otherwise(math.ceil(1e6 * share[0])))
+    return cut(docs.join(F.broadcast(drawn), "doc_id").where("text is not null").select("text", "toxic"), "labelled"), share[1] / share[0]
+
+
+def fit(chosen: DataFrame, grow: float = 1.0) -> Lexicon:
+    """A lexicon from ``chosen(text, toxic)``; ``grow`` is how many rows a benign row stands for."""
+    sizes = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Lexicon({}, [])
-    share = {label: min(1.0, fit_rows / n) for label, n in sizes.items()}
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    chosen = known.where(lot < F.when(F.col("toxic") == 1, math.ceil(1e6 * share[1])).otherwise(math.ceil(1e6 * share[0])))
 
     def stems():
         return lambda words: {w[:n] for w in set(words) for n in STEMS if len(w) >= n} | {w for w in set(words) if len(w) > STEMS[-1]}
 
-    grow = share[1] / share[0]  # benign rows may be thinned more: their counts stand for more rows
     counts = _counted(chosen, stems).where("bad >= 4").where(F.col("bad") > F.col("good") * grow).toPandas()
     stems_found: dict[str, float] = {}
     for row in sorted(counts.itertuples(), key=lambda r: (len(r.unit), r.unit)):
         if any(row.unit[:n] in stems_found for n in range(1, len(row.unit))):
             continue
         if lower_share(row.bad, row.bad + row.good * grow) > 0.5:
-            bad, good = (row.bad + 0.5) / (sizes[1] * share[1] + 1), (row.good + 0.5) / (sizes[0] * share[0] + 1)
+            bad, good = (row.bad + 0.5) / (sizes[1] + 1), (row.good + 0.5) / (sizes[0] + 1)
             stems_found[row.unit] = max(0.1, math.log(bad / good))
     lexicon = Lexicon(stems_found, list(EXCEPTIONS))
 
@@ -245,6 +256,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
 def predict_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on labelled rows that are not held out, score all: ``doc_id, held_out, score, predicted, n_hits``."""
     kept_back = held_out(F.col("doc_id"), 5, 0)
-    marked = labels.select("doc_id", "toxic").where(~kept_back)
-    lexicon = fit(id_and_text(docs).join(marked, "doc_id"))
+    chosen, grow = sample(id_and_text(docs), labels.select("doc_id", "toxic").where(~kept_back))
+    lexicon = fit(chosen, grow)
+    retire(chosen)
     return score_toxicity(docs, lexicon).select("doc_id", kept_back.alias("held_out"), "score", "predicted", "n_hits")
