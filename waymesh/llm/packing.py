@@ -8,6 +8,7 @@ group's rest is not wasted.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -43,6 +44,22 @@ def public_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Byte-level tokenizers write every byte as a letter of its own: printable ones as themselves.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = str.maketrans({chr(b): chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)})
+
+
+def byte_letters(word: str) -> str:
+    return word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+
+
+def is_plain(word: str) -> bool:
+    """Whether ``word`` is one run of lower-case Latin letters in composed form."""
+    if not word.isalpha() or word != word.lower():
+        return False
+    return word.isascii() or max(word) < "\u0250" and unicodedata.is_normalized("NFC", word)
+
+
 class ChunkIds(dict):
     """Stretches between blanks -> their ids as little-endian bytes.
 
@@ -56,9 +73,14 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     def encode(self, chunk: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if is_plain(chunk):  # nothing to normalise or split: the merges alone, in a quarter of the time
+            ids = [token.id for token in self.model.tokenize(chunk if chunk.isascii() else byte_letters(chunk))]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return np.asarray(ids, dtype="<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         word = chunk.rstrip(MARKS)
