@@ -58,7 +58,8 @@ MARKING_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar widget widgets related recommended share sharing social footer header masthead cookie "
     "cookies consent gdpr notice notices alert alerts announcement popup modal overlay newsletter subscribe subscription signup "
-    "login search comment comments disqus reply replies respond pagination pager toolbar copyright skip".split()
+    "login search comment comments disqus discussion reply replies respond responses pagination pager toolbar copyright skip "
+    "topbar subnav sidenav sitenav adbox adslot adunit adsense cookiebar infobar trending popular teaser teasers".split()
 )
 MARKING_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 
