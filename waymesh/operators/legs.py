@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
-
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions.chains import (
     BEST_PRIORITY,
-    MAX_LEG_COMBINATIONS,
-    MAX_OPTIMIZED_WAYPOINTS,
     WAYPOINT_MAX_STRETCH,
     path_edges,
 )
@@ -33,75 +30,96 @@ def normalise_via(trips: DataFrame) -> DataFrame:
     )
 
 
-def clean_stop_names(via: str):
-    """H13 for typed names: trimmed, blanks dropped, first of each kept."""
-    return F.array_distinct(F.filter(F.transform(via, F.trim), lambda v: v != ""))
-
+def cheapest_order(count: int, cost: dict[tuple[int, int], int]) -> list[int] | None:
+    """The cheapest order of stops 1..``count`` from 0 to ``count`` + 1, the first of equals.
 
-def orders(trips: DataFrame) -> DataFrame:
-    """Every order of up to seven stops, else the given one: ``(qid, nth, points)``.
-
-    The orders of ``n`` stops are a fixed list, at most 5040 entries, so they come from a
-    small lookup joined on the number of stops.
+    ``cost`` holds the hops that have a way. Every set of stops still to visit is priced once
+    for every stop it can be entered from, so all orders are weighed without listing them.
     """
-    spark = trips.sparkSession
-    sizes = [r["n"] for r in trips.select(F.size("via").alias("n")).where(
-        F.size("via") <= MAX_OPTIMIZED_WAYPOINTS).distinct().collect()]
-    listed = [
-        (n, nth, list(order))
-        for n in sizes
-        for nth, order in enumerate(itertools.permutations(range(n)))
-    ]
-    lookup = spark.createDataFrame(listed, "n int, nth int, line array<int>")
-    many = trips.where(F.size("via") > MAX_OPTIMIZED_WAYPOINTS).select(
-        "qid", F.lit(0).alias("nth"), F.concat(F.array("start_place"), "via", F.array("end_place")).alias("points")
-    )
-    few = (
-        trips.where(F.size("via") <= MAX_OPTIMIZED_WAYPOINTS)
-        .withColumn("n", F.size("via"))
-        .join(F.broadcast(lookup), "n")
-        .select(
-            "qid",
-            "nth",
-            F.concat(
-                F.array("start_place"),
-                F.expr("transform(line, i -> via[i])"),
-                F.array("end_place"),
-            ).alias("points"),
+    end = count + 1
+    rest: list[dict[int, int]] = [{} for _ in range(1 << count)]  # stops left (bits) -> place -> cost to the end
+    for left in range(1 << count):
+        for at in range(count + 1):
+            if at and left >> (at - 1) & 1:
+                continue
+            if not left:
+                ways = [cost[at, end]] if (at, end) in cost else []
+            else:
+                ways = [
+                    cost[at, i] + rest[left ^ 1 << (i - 1)][i]
+                    for i in range(1, end)
+                    if left >> (i - 1) & 1 and (at, i) in cost and i in rest[left ^ 1 << (i - 1)]
+                ]
+            if ways:
+                rest[left][at] = min(ways)
+    left, at, order = (1 << count) - 1, 0, []
+    if 0 not in rest[left]:
+        return None
+    while left:
+        at, left = next(
+            (i, left ^ 1 << (i - 1))
+            for i in range(1, end)
+            if left >> (i - 1) & 1
+            and (at, i) in cost
+            and i in rest[left ^ 1 << (i - 1)]
+            and cost[at, i] + rest[left ^ 1 << (i - 1)][i] == rest[left][at]
         )
-    )
-    return few.unionByName(many)
+        order.append(at)
+    return order
 
 
-def best_order(trips: DataFrame, ready: Prepared) -> DataFrame:
-    """The cheapest order by hops in which every leg has a way: ``(qid, points)``.
+def best_order(trips: DataFrame, ready: Prepared, most_optimized: int | None = None) -> DataFrame:
+    """The cheapest order by hops in which every leg has a way: ``(qid, points, rule)``.
 
+    Each pair of a trip's points is priced once. ``rule`` is ``exact``; only if the caller
+    bounds the work by ``most_optimized`` do trips with more stops keep their ``given`` order.
     Bans on a leg are soft, so an order with a way for every leg always yields a pool:
     the first order to yield one is the cheapest of these.
     """
-    listed = cut(orders(trips), "orders")
-    legs = listed.select(
+    stops = trips.select("qid", F.concat(F.array("start_place"), "via", F.array("end_place")).alias("points")).withColumn(
+        "rule", F.lit("exact") if most_optimized is None else F.when(F.size("points") - 2 > most_optimized, "given").otherwise("exact")
+    )
+    # Of a given order only neighbours are asked for, else any point but the end before any but the start.
+    pairs = stops.select(
         "qid",
-        "nth",
         F.explode(
-            F.expr("transform(sequence(1, size(points) - 1), i -> struct(points[i - 1] as src, points[i] as dst))")
-        ).alias("l"),
-    ).select("qid", "nth", "l.src", "l.dst")
-    asked = legs.select("src", "dst").distinct()
+            F.expr(
+                "flatten(transform(sequence(0, size(points) - 2), i -> transform("
+                "sequence(1, size(points) - 1), j -> struct(i, j, points[i] as src, points[j] as dst))))"
+            )
+        ).alias("p"),
+        "rule",
+    ).select("qid", "p.*", "rule").where("i <> j and (rule = 'exact' or j = i + 1)")
+    pairs = cut(pairs.where("not (i = 0 and j > 1 and rule = 'given')").drop("rule"), "pairs")
+    asked = pairs.select("src", "dst").distinct()
     probes = cut(
         se.plain_searches(asked, F.concat_ws("|", "src", "dst"), transfer=0, hop_weight=0, step=1), "probes"
     )
     got = se.found(se.search(probes, ready.rail), probes).join(probes.select("sid", "src", "dst"), "sid")
     priced = (
-        legs.join(got.select("src", "dst", "cost"), ["src", "dst"], "left")
-        .groupBy("qid", "nth")
-        .agg(F.sum("cost").alias("cost"), F.max(F.col("cost").isNull()).alias("broken"))
-        .where("not broken")
+        pairs.join(got.select("src", "dst", "cost"), ["src", "dst"])
         .groupBy("qid")
-        .agg(F.min(F.struct("cost", "nth")).alias("m"))
-        .select("qid", F.col("m.nth").alias("nth"))
+        .agg(F.collect_list(F.struct("i", "j", "cost")).alias("priced"))
     )
-    return listed.join(priced, ["qid", "nth"]).select("qid", "points")
+    asked = stops.join(priced, "qid")
+
+    def settle(batches):
+        for batch in batches:
+            rows = []
+            for qid, points, rule, known in zip(batch["qid"], batch["points"], batch["rule"], batch["priced"], strict=True):
+                points, cost = list(points), {(p["i"], p["j"]): p["cost"] for p in known}
+                inner = len(points) - 2
+                if rule == "given":
+                    order = list(range(1, inner + 1)) if all((i, i + 1) in cost for i in range(inner + 1)) else None
+                else:
+                    order = cheapest_order(inner, cost)
+                if order is not None:
+                    rows.append((qid, [points[0], *[points[i] for i in order], points[-1]], rule))
+            if rows:
+                yield pd.DataFrame(rows, columns=["qid", "points", "rule"])
+
+    kind = dict(trips.dtypes)
+    return asked.mapInPandas(settle, f"qid {kind['qid']}, points array<{kind['start_place']}>, rule string")
 
 
 def leg_trips(points: DataFrame) -> DataFrame:
@@ -123,7 +141,7 @@ def leg_trips(points: DataFrame) -> DataFrame:
     )
 
 
-def trim_sizes(sizes: DataFrame, limit: int = MAX_LEG_COMBINATIONS) -> DataFrame:
+def trim_sizes(sizes: DataFrame, limit: int) -> DataFrame:
     """How many candidates each leg keeps so that the product stays within ``limit``:
     one at a time from the largest leg, the first of equals: ``(qid, leg, keep)``."""
     gathered = sizes.groupBy("qid").agg(
@@ -140,15 +158,24 @@ def trim_sizes(sizes: DataFrame, limit: int = MAX_LEG_COMBINATIONS) -> DataFrame
     return gathered.select("qid", F.posexplode(F.expr(steps)).alias("leg", "keep"))
 
 
-def combine(leg_pool: DataFrame, points: DataFrame, ready: Prepared, crossroads_only: bool = True) -> DataFrame:
+def combine(
+    leg_pool: DataFrame, points: DataFrame, ready: Prepared, crossroads_only: bool = True, limit: int | None = None
+) -> DataFrame:
     """One candidate per leg, stitched and scored.
 
+    All combinations are made unless the caller sets a ``limit`` (``MAX_LEG_COMBINATIONS`` is
+    the customary one); ``trimmed`` tells which trips it left without some.
+
     ``leg_pool(qid, leg, slot, stops, runs, hhi, length)``. The trip's concentration is the
     mean of its legs', weighted by length; its tier is read off the whole chain.
     """
-    kept = leg_pool.join(
-        trim_sizes(leg_pool.groupBy("qid", "leg").agg(F.count("*").alias("n"))), ["qid", "leg"]
-    ).where("slot < keep")
+    if limit is None:
+        kept, trimmed = leg_pool, None
+    else:
+        sizes = leg_pool.groupBy("qid", "leg").agg(F.count("*").alias("n"))
+        keep = trim_sizes(sizes, limit)
+        kept = leg_pool.join(keep, ["qid", "leg"]).where("slot < keep")
+        trimmed = keep.join(sizes, ["qid", "leg"]).groupBy("qid").agg(F.max(F.expr("keep < n")).alias("trimmed"))
     part = F.struct("slot", "stops", "runs", "hhi", "length")
     legs = cut(kept.select("qid", "leg", part.alias("part")), "legs")
     last = legs.groupBy("qid").agg(F.max("leg").alias("last"))
@@ -212,12 +239,14 @@ def combine(leg_pool: DataFrame, points: DataFrame, ready: Prepared, crossroads_
             ),
         )
     )
+    record = record.withColumn("trimmed", F.lit(False)) if trimmed is None else record.join(trimmed, "qid")
     return record.select(
         *key,
         "stops",
         "runs",
         "length",
         "hhi",
+        "trimmed",
         F.expr("array_sort(array_distinct(filter(transform(runs, r -> r.route_id), r -> r >= 0)))").alias("route_ids"),
         F.aggregate("runs", F.lit(BEST_PRIORITY), lambda s, r: F.greatest(s, r["priority"])).alias("priority"),
         "crossroad_hops",
@@ -253,12 +282,15 @@ def one_leg(pool: DataFrame) -> DataFrame:
     )
 
 
-def leg_candidates(trips: DataFrame, ready: Prepared, crossroads_only: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``points(qid, points)`` and the selected candidates of every leg."""
-    points = cut(best_order(trips, ready), "points")
+def leg_candidates(
+    trips: DataFrame, ready: Prepared, crossroads_only: bool = True, most_optimized: int | None = None, **search
+) -> tuple[DataFrame, DataFrame]:
+    """``points(qid, points)`` and the selected candidates of every leg; ``search`` goes to
+    :func:`candidate_pool`."""
+    points = cut(best_order(trips, ready, most_optimized).select("qid", "points"), "points")
     legs = cut(leg_trips(points), "legs")
     asked = legs.select(F.col("lid").alias("qid"), "start_place", "end_place", "banned")
-    pool = candidate_pool(asked, ready, crossroads_only)
+    pool = candidate_pool(asked, ready, crossroads_only, **search)
     chosen = select_diverse(pool).withColumnRenamed("qid", "lid")
     return points, cut(
         chosen.join(legs.select("lid", "qid", "leg"), "lid").select(
@@ -268,26 +300,40 @@ def leg_candidates(trips: DataFrame, ready: Prepared, crossroads_only: bool = Tr
     )
 
 
-def via_pool(trips: DataFrame, ready: Prepared, crossroads_only: bool = True) -> DataFrame:
+def via_pool(
+    trips: DataFrame,
+    ready: Prepared,
+    crossroads_only: bool = True,
+    most_optimized: int | None = None,
+    most_combinations: int | None = None,
+    **search,
+) -> DataFrame:
     """The pool of trips ``(qid, start_place, end_place, via)`` with at least one stop."""
     known = ready.net.degree.select("place")
     cleaned = normalise_via(trips)
     every = cleaned.select("qid", F.explode(F.concat(F.array("start_place", "end_place"), "via")).alias("place"))
     missing = every.join(known, "place", "left_anti").select("qid").distinct()
     asked = cut(cleaned.join(missing, "qid", "left_anti").where(F.size("via") > 0), "via")
-    points, pool = leg_candidates(asked, ready, crossroads_only)
-    return cut(combine(pool, points, ready, crossroads_only), "via_pool")
+    points, pool = leg_candidates(asked, ready, crossroads_only, most_optimized, **search)
+    return cut(combine(pool, points, ready, crossroads_only, most_combinations), "via_pool")
 
 
 def find_routes(
     trips: DataFrame, ready: Prepared, k: int | None = 3, crossroads_only: bool = True,
     hard_tier: bool = True, closed: DataFrame | None = None,
+    most_optimized: int | None = None, most_combinations: int | None = None, **search,
 ) -> DataFrame:
-    """Up to ``k`` diverse routes for every trip ``(qid, start_place, end_place, via)``."""
+    """Up to ``k`` diverse routes for every trip ``(qid, start_place, end_place, via)``.
+
+    Bounds on the work are the caller's: ``most_optimized`` stops to reorder, ``most_combinations``
+    of leg candidates, and what :func:`candidate_pool` takes.
+    """
     trips = cut(normalise_via(trips.select("qid", "start_place", "end_place", "via")), "trips")
     plain, via = together(
-        lambda: candidate_pool(trips.where(F.size("via") == 0).drop("via"), ready, crossroads_only),
-        lambda: via_pool(trips.where(F.size("via") > 0), ready, crossroads_only),
+        lambda: candidate_pool(trips.where(F.size("via") == 0).drop("via"), ready, crossroads_only, **search),
+        lambda: via_pool(
+            trips.where(F.size("via") > 0), ready, crossroads_only, most_optimized, most_combinations, **search
+        ),
     )
     direct = select_diverse(one_leg(plain), k, hard_tier=hard_tier, closed=closed)
     through = select_diverse(via, k, WAYPOINT_MAX_STRETCH, hard_tier=hard_tier, closed=closed)

@@ -60,7 +60,9 @@ def simple_routes(edge_rows: DataFrame) -> DataFrame:
     )
     return per_place.groupBy("route_id").agg(
         (
-            (F.sum(F.when(F.col("near") == 1, 1).otherwise(0)) == 2) & (F.max("near") <= 2)
+            (F.sum(F.when(F.col("near") == 1, 1).otherwise(0)) == 2)
+            & (F.max("near") <= 2)
+            & (F.sum("near") == 2 * (F.count("*") - 1))
         ).alias("simple"),
         F.min(F.when(F.col("near") == 1, F.col("place"))).alias("first_end"),
         F.max(F.when(F.col("near") == 1, F.col("place"))).alias("last_end"),
@@ -73,9 +75,10 @@ def marked_edges(
 ) -> DataFrame:
     """``(route_id, a, b, priority)``, the worst mark covering each edge of a route.
 
-    ``stops`` are the filled chains. Given ``edge_rows`` (for instance a network with
-    places removed), a route whose remaining edges are no longer one path counts as
-    wholly marked at its worst rating; a mark whose end is gone says nothing.
+    ``stops`` are the filled chains, ``edge_rows`` the edges that are left of them (for
+    instance of a network with places removed), all if not given. A route whose edges are
+    not one simple path counts as wholly marked at its worst rating; a mark whose end is
+    gone says nothing.
     """
     worth = rated(marks)
     touched = stops.join(worth.select("route_id").distinct(), "route_id", "left_semi")
@@ -86,40 +89,20 @@ def marked_edges(
         .select("route_id", F.least("i1", "i2").alias("lo"), F.greatest("i1", "i2").alias("hi"), "priority")
         .where("lo < hi")
     )
-    # One row per covered hop: the join with the hops stays an equi-join on
-    # (route_id, pos) instead of a range join inside one route.
-    covered = (
-        ranges.select("route_id", "priority", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"))
-        .groupBy("route_id", "pos")
-        .agg(F.max("priority").alias("priority"))
-    )
-    inside = (
-        hops(touched)
-        .where("place <> onward")
-        .join(covered, ["route_id", "pos"])
-        .select("route_id", *edge_ends("place", "onward"), "priority")
-        .groupBy("route_id", "a", "b")
-        .agg(F.max("priority").alias("priority"))
-    )
+    driven = hops(touched).where("place <> onward").select("route_id", "pos", *edge_ends("place", "onward"))
     if edge_rows is None:
-        return inside
-    remaining = edge_rows.join(worth.select("route_id").distinct(), "route_id", "left_semi")
-    # A simple chain minus some places is one path exactly when its surviving hops
-    # are consecutive.
-    runs = (
-        hops(touched)
-        .where("place <> onward")
-        .select("route_id", "pos", *edge_ends("place", "onward"))
-        .join(remaining, ["route_id", "a", "b"], "left_semi")
-    )
-    whole = runs.groupBy("route_id").agg(
-        (F.max("pos") - F.min("pos") + 1 == F.count("*")).alias("simple")
-    )
+        remaining, runs = driven.select("route_id", "a", "b").distinct(), driven
+    else:
+        remaining = edge_rows.join(worth.select("route_id").distinct(), "route_id", "left_semi")
+        runs = driven.join(remaining, ["route_id", "a", "b"], "left_semi")
+    whole = simple_routes(remaining.select("route_id", "a", "b").distinct()).select("route_id", "simple")
     broken = whole.where(~F.col("simple")).select("route_id")
     # A mark needs both of its ends on the chain that is left.
     ends = runs.join(whole.where("simple"), "route_id", "left_semi").groupBy("route_id").agg(
         F.min("pos").alias("first"), (F.max("pos") + 1).alias("last")
     )
+    # One row per covered hop: the join with the hops stays an equi-join on
+    # (route_id, pos) instead of a range join inside one route.
     alive = (
         ranges.join(ends, "route_id")
         .where("lo >= first and hi <= last")
@@ -130,7 +113,8 @@ def marked_edges(
     kept_marks = (
         runs.join(alive, ["route_id", "pos"])
         .join(broken, "route_id", "left_anti")
-        .select("route_id", "a", "b", "priority")
+        .groupBy("route_id", "a", "b")
+        .agg(F.max("priority").alias("priority"))
     )
     all_marked = remaining.join(broken, "route_id", "left_semi").join(
         route_priority(marks), "route_id"

@@ -354,9 +354,9 @@ def leading_arteries(pool: DataFrame, limit: int = PAIR_SEED_ARTERIES) -> DataFr
     ).select("qid", "place_in_line", "artery")
 
 
-def pair_chains(trips: DataFrame, pool: DataFrame, ready: Prepared) -> DataFrame:
-    """Chains favouring two leading arteries together, new ones only."""
-    seeds = cut(leading_arteries(pool), "seeds")
+def pair_chains(trips: DataFrame, pool: DataFrame, ready: Prepared, seed_arteries: int = PAIR_SEED_ARTERIES) -> DataFrame:
+    """Chains favouring two of the first ``seed_arteries`` arteries together, new ones only."""
+    seeds = cut(leading_arteries(pool, seed_arteries), "seeds")
     pairs = seeds.alias("x").join(seeds.alias("y"), "qid").where("x.place_in_line < y.place_in_line").select(
         "qid", F.col("x.artery").alias("r1"), F.col("y.artery").alias("r2")
     )
@@ -371,9 +371,18 @@ def pair_chains(trips: DataFrame, pool: DataFrame, ready: Prepared) -> DataFrame
     return fresh.join(pool.select("qid", "stops"), ["qid", "stops"], "left_anti").select("qid", "cid", "stops")
 
 
-def candidate_pool(trips: DataFrame, ready: Prepared, crossroads_only: bool = True) -> DataFrame:
+def candidate_pool(
+    trips: DataFrame,
+    ready: Prepared,
+    crossroads_only: bool = True,
+    diversity: int = DIVERSITY_ROUNDS,
+    seed_arteries: int = PAIR_SEED_ARTERIES,
+) -> DataFrame:
     """The scored pool of every trip ``(qid, start_place, end_place[, banned])``.
 
+    ``diversity`` rounds look for detours, and pairs of the first ``seed_arteries`` arteries
+    are tried together: parameters of the search, not bounds on what is kept.
+
     A trip from a place to itself is the place alone; a trip with an end the network does
     not know, or with no way between its ends, has no rows (I8).
     """
@@ -389,10 +398,10 @@ def candidate_pool(trips: DataFrame, ready: Prepared, crossroads_only: bool = Tr
         lambda: cut(
             se.point_distance(ends, ready.net, ready.rail, crossroads_only).select("qid", "c_min"), "c_min"
         ),
-        lambda: cut(generate(moving, ready).unionByName(still), "candidates"),
+        lambda: cut(generate(moving, ready, diversity).unionByName(still), "candidates"),
     )
     pool = cut(with_score(chains, c_min, ready, crossroads_only), "pool")
-    extra = cut(pair_chains(moving, pool, ready), "extra")
+    extra = cut(pair_chains(moving, pool, ready, seed_arteries), "extra")
     return cut(pool.unionByName(with_score(extra, c_min, ready, crossroads_only)), "pool")
 
 

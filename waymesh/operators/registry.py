@@ -48,7 +48,10 @@ def to_ids(nodes: DataFrame, registry: DataFrame) -> DataFrame:
         .groupBy(*KEY)
         .agg(F.expr("transform(array_sort(collect_list(struct(pos, place_id))), e -> e.place_id)").alias("places"))
     )
-    return nodes.drop("places").join(ids, KEY).select(*KEY, "places", "marks", "priority")
+    none = F.expr("cast(array() as array<bigint>)")
+    return nodes.drop("places").join(ids, KEY, "left").select(
+        *KEY, F.coalesce("places", none).alias("places"), "marks", "priority"
+    )
 
 
 def to_display(nodes: DataFrame, registry: DataFrame) -> DataFrame:
@@ -57,15 +60,18 @@ def to_display(nodes: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def translate(rows: DataFrame, registry: DataFrame, key: list[str], column: str) -> DataFrame:
-    """The ids of an array column as display names, in place."""
+    """The ids of an array column as display names, in place; an id without a name stays
+    as its number, and a row without ids keeps its empty list."""
     shown = with_display(registry).select(F.col("place_id").alias("_id"), "display")
     names = (
         rows.select(*key, F.posexplode(column).alias("_pos", "_id"))
-        .join(shown, "_id")
+        .join(shown, "_id", "left")
+        .withColumn("display", F.coalesce("display", F.col("_id").cast("string")))
         .groupBy(*key)
         .agg(F.expr("transform(array_sort(collect_list(struct(_pos, display))), e -> e.display)").alias(column))
     )
-    return rows.drop(column).join(names, key)
+    none = F.expr("cast(array() as array<string>)")
+    return rows.drop(column).join(names, key, "left").withColumn(column, F.coalesce(column, none))
 
 
 def migration_counts(names: DataFrame) -> DataFrame:

@@ -95,12 +95,15 @@ _CUTS = (
 def memberships(chains: DataFrame, edge_rows: DataFrame, key: list[str]) -> DataFrame:
     """The routes of each hop of each chain: ``(key..., i, route_id)``.
 
-    H6: a hop no route carries is a route of its own, numbered below zero.
+    H6: an edge no route carries is a route of its own, numbered below zero by the first
+    hop of the chain that takes it, so a chain that takes it again stays on the same route.
     """
+    same = Window.partitionBy(*key, "a", "b")
     return (
         mk.chain_hops(chains, key)
+        .withColumn("first", F.min("i").over(same))
         .join(edge_rows, ["a", "b"], "left")
-        .select(*key, "i", F.coalesce("route_id", -F.col("i").cast("long") - 1).alias("route_id"))
+        .select(*key, "i", F.coalesce("route_id", -F.col("first").cast("long") - 1).alias("route_id"))
     )
 
 

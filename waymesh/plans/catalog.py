@@ -678,6 +678,35 @@ def _(spark, sf):
     return mk.run_priority(spans, sh.net(spark, sf).marks).select("span_id", "priority")
 
 
+@query("c5_raw_document_violations", EDGES + """,
+ odd AS (SELECT DISTINCT route_id, route_id % 9 AS k FROM stops)
+ SELECT CAST(route_id AS INT) AS route_idx, CASE k WHEN 7 THEN '0' ELSE '' END AS node, CASE k WHEN 1 THEN 'places is not a list' WHEN 2 THEN 'priority is not a whole number'
+   WHEN 3 THEN 'not a route' WHEN 4 THEN 'branches is not a list' WHEN 5 THEN 'marks is not a list' WHEN 6 THEN 'a place is not text'
+   WHEN 7 THEN 'priority is not a whole number' WHEN 8 THEN 'a mark is not three whole numbers' END AS rule FROM odd WHERE k > 0
+ UNION ALL SELECT CAST(route_id AS INT), '', 'places is not a list' FROM odd WHERE k = 3""")
+def _(spark, sf):
+    # Every order as a document, eight of nine spoilt in one of eight ways.
+    n = sh.net(spark, sf)
+    docs = n.stops.groupBy("route_id").agg(F.expr("transform(array_sort(collect_list(struct(pos, place))), e -> cast(e.place as string))").alias("p"))
+    places, numbers = F.to_json("p"), F.concat(F.lit("["), F.array_join("p", ","), F.lit("]"))
+    spoilt = {
+        0: F.concat(F.lit('{"places": '), places, F.lit(', "priority": 1}')),
+        1: F.concat(F.lit('{"places": "'), F.col("p")[0], F.lit('"}')),
+        2: F.concat(F.lit('{"places": '), places, F.lit(', "priority": "high"}')),
+        3: F.concat(F.lit('"'), F.col("p")[0], F.lit('"')),
+        4: F.concat(F.lit('{"places": '), places, F.lit(', "branches": {}}')),
+        5: F.concat(F.lit('{"places": '), places, F.lit(', "marks": "abc"}')),
+        6: numbers,
+        7: F.concat(F.lit('{"places": '), places, F.lit(', "branches": [{"places": ["x"], "priority": true}]}')),
+        8: F.concat(F.lit('{"places": '), places, F.lit(', "marks": [{"from": 0, "to": 1.5, "priority": 1}]}')),
+    }
+    doc = F.lit(None).cast("string")
+    for k, text in spoilt.items():
+        doc = F.when(F.col("route_id") % 9 == k, text).otherwise(doc)
+    raw = dc.unfold(docs.select(F.col("route_id").cast("int").alias("route_idx"), doc.alias("doc")))
+    return dc.shape_violations(raw).select("route_idx", F.array_join(F.transform("node_path", lambda x: x.cast("string")), ">").alias("node"), "rule")
+
+
 @query("f4_simple_routes", EDGES + """ SELECT e.route_id, true AS simple, least(h.place, t.place) AS first_end, greatest(h.place, t.place) AS last_end, any_value(n) AS places
  FROM (SELECT route_id, max(pos) AS last, count(*) AS n FROM stops GROUP BY 1) e JOIN stops h ON h.route_id = e.route_id AND h.pos = 0
  JOIN stops t ON t.route_id = e.route_id AND t.pos = last WHERE last > 0 GROUP BY ALL""")
@@ -685,6 +714,57 @@ def _(spark, sf):
     return mk.simple_routes(sh.net(spark, sf).edges)
 
 
+_SIMPLE = """ near_of AS (SELECT route_id, place, count(*) AS near FROM (SELECT route_id, a AS place FROM cut_edges UNION ALL SELECT route_id, b FROM cut_edges) GROUP BY 1, 2)
+ SELECT route_id, sum(CASE WHEN near = 1 THEN 1 ELSE 0 END) = 2 AND max(near) <= 2 AND sum(near) = 2 * (count(*) - 1) AS simple,
+        min(CASE WHEN near = 1 THEN place END) AS first_end, max(CASE WHEN near = 1 THEN place END) AS last_end, count(*) AS places
+ FROM near_of GROUP BY 1"""
+
+
+@query("f4_simple_after_closures", EDGES + "," + tb.CLOSED_SQL + """,
+ cut_edges AS (SELECT * FROM edges WHERE a NOT IN (SELECT place FROM closed) AND b NOT IN (SELECT place FROM closed)),""" + _SIMPLE)
+def _(spark, sf):
+    n = sh.net(spark, sf)
+    kept, _deg = nw.without_places(n.edges, n.degree, tb.closed_places(spark, sf, n.stops))
+    return mk.simple_routes(kept)
+
+
+@query("f4_simple_beside_rings", EDGES + """,
+ three AS (SELECT route_id FROM stops GROUP BY 1 HAVING count(*) >= 3),
+ ring AS (SELECT x.route_id - 1 AS route_id, -x.place AS p, -y.place AS q FROM stops x JOIN stops y ON x.route_id = y.route_id AND x.pos < y.pos
+          WHERE y.pos < 3 AND x.route_id IN (SELECT route_id FROM three)),
+ cut_edges AS (SELECT route_id, a, b FROM edges UNION SELECT route_id, least(p, q), greatest(p, q) FROM ring),""" + _SIMPLE)
+def _(spark, sf):
+    # Beside its own path each route gets a ring of three places that no route knows.
+    n = sh.net(spark, sf)
+    first = n.stops.where("pos < 3").groupBy("route_id").agg(F.sort_array(F.collect_list("place")).alias("p")).where("size(p) = 3")
+    ring = first.select(
+        (F.col("route_id") - 1).alias("route_id"), F.explode(F.expr("array(struct(-p[1] as a, -p[0] as b), struct(-p[2] as a, -p[1] as b), struct(-p[2] as a, -p[0] as b))")).alias("e")
+    ).select("route_id", "e.a", "e.b")
+    return mk.simple_routes(n.edges.select("route_id", "a", "b").unionByName(ring).distinct())
+
+
+@query("f5_marked_edges_of_returns", MARKS + """,
+ back AS (SELECT s.route_id, 2 * last - s.pos AS pos, s.place FROM stops s JOIN lasts USING (route_id) WHERE s.pos < last AND last >= 2 AND s.pos > 0
+          UNION ALL SELECT route_id, pos, place FROM stops),
+ ends2 AS (SELECT route_id, 2 * last AS pos, s.place FROM stops s JOIN lasts USING (route_id) WHERE s.pos = 1 AND last >= 2),
+ walked AS (SELECT * FROM back UNION ALL SELECT route_id, pos, place + 50 FROM ends2),
+ cut_edges AS (SELECT DISTINCT x.route_id, least(x.place, y.place) AS a, greatest(x.place, y.place) AS b
+   FROM walked x JOIN walked y ON x.route_id = y.route_id AND y.pos = x.pos + 1),
+ near_of AS (SELECT route_id, place, count(*) AS near FROM (SELECT route_id, a AS place FROM cut_edges UNION ALL SELECT route_id, b FROM cut_edges) GROUP BY 1, 2),
+ shape AS (SELECT route_id, sum(CASE WHEN near = 1 THEN 1 ELSE 0 END) = 2 AND max(near) <= 2 AND sum(near) = 2 * (count(*) - 1) AS simple FROM near_of GROUP BY 1)
+ SELECT c.route_id, c.a, c.b, m.priority FROM cut_edges c JOIN shape USING (route_id) JOIN marks m USING (route_id) WHERE NOT simple""")
+def _(spark, sf):
+    # Every route of three stops or more goes back the way it came and ends beside its second
+    # stop: it forks there, so it is no simple path and counts as marked throughout.
+    n = sh.net(spark, sf)
+    last = n.stops.groupBy("route_id").agg(F.max("pos").alias("last")).where("last >= 2")
+    own = n.stops.join(last, "route_id")
+    back = own.where("pos > 0 and pos < last").select("route_id", (2 * F.col("last") - F.col("pos")).cast("int").alias("pos"), "place")
+    tip = own.where("pos = 1").select("route_id", (2 * F.col("last")).cast("int").alias("pos"), (F.col("place") + 50).alias("place"))
+    walked = own.select("route_id", "pos", "place").unionByName(back).unionByName(tip)
+    return mk.marked_edges(walked, n.marks.join(last.select("route_id"), "route_id", "left_semi"))
+
+
 @query("f5_marked_edges", MARKS + """ SELECT h.route_id, least(p, q) AS a, greatest(p, q) AS b, m.priority
  FROM hops h JOIN marks m USING (route_id) WHERE h.pos < 2""")
 def _(spark, sf):
@@ -728,6 +808,21 @@ def _scored(spark, sf) -> DataFrame:
     )
 
 
+@query("h6_routeless_returns", EDGES + """,
+ there AS (SELECT route_id AS chain_id, pos AS i, place FROM stops),
+ sizes2 AS (SELECT route_id AS chain_id, max(pos) AS last FROM stops GROUP BY 1),
+ walk AS (SELECT * FROM there UNION ALL SELECT chain_id, 2 * last - i, place FROM there JOIN sizes2 USING (chain_id) WHERE i < last),
+ walk_hops AS (SELECT x.chain_id, x.i, least(x.place, y.place) AS a, greatest(x.place, y.place) AS b FROM walk x JOIN walk y ON x.chain_id = y.chain_id AND y.i = x.i + 1)
+ SELECT chain_id, CAST(i AS INT) AS i, -min(i) OVER (PARTITION BY chain_id, a, b) - 1 AS route_id FROM walk_hops""")
+def _(spark, sf):
+    # There and back over edges no route carries: every edge is one route, ridden twice.
+    n = sh.net(spark, sf)
+    chains = n.stops.groupBy("route_id").agg(F.expr("transform(array_sort(collect_list(struct(pos, place))), e -> e.place)").alias("p")).select(
+        F.col("route_id").alias("chain_id"), F.expr("concat(p, slice(reverse(p), 2, size(p) - 1))").alias("stops")
+    )
+    return sc.memberships(chains, n.edges.where("false"), ["chain_id"])
+
+
 @query("f7_on_route_spans", SPLICES + " SELECT chain_id, route_id, CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi FROM spans")
 def _(spark, sf):
     return _splice_spans(spark, sf)
@@ -790,7 +885,28 @@ def _(spark, sf):
     )
 
 
-@query("g4_runs")
+# The same optimum with its way back: value, transfers and start of the last run in one number.
+_BACK = """,
+ reach0 AS (SELECT m.chain_id, m.i, min(s.lo) AS lo FROM member m JOIN spans s ON s.chain_id = m.chain_id AND s.route_id = m.route_id AND m.i >= s.lo AND m.i < s.hi GROUP BY 1, 2),
+ lists AS (SELECT chain_id, list(lo ORDER BY i) AS reach, list(len ORDER BY i) AS lens FROM reach0 JOIN (SELECT chain_id, j - 1 AS i, CAST(len AS BIGINT) AS len FROM prefix) USING (chain_id, i) GROUP BY 1),
+ dp AS (SELECT chain_id, reach, list_prepend(CAST(0 AS BIGINT), lens) AS p, [CAST(1000999 AS BIGINT)] AS best FROM lists
+   UNION ALL
+   SELECT chain_id, reach, p, list_append(best, list_max(list_transform(range(reach[len(best)], len(best)), lambda i:
+     ((best[i + 1] // 1000000000) + (p[len(best) + 1] - p[i + 1]) * (p[len(best) + 1] - p[i + 1])) * 1000000000
+     + ((best[i + 1] % 1000000000) // 1000 - 1) * 1000 + 999 - i)))
+   FROM dp WHERE len(best) <= len(reach)),
+ whole AS (SELECT chain_id, p, best, len(reach) AS n FROM dp WHERE len(best) = len(reach) + 1),
+ trace AS (SELECT chain_id, CAST(n AS BIGINT) AS last, 999 - best[n + 1] % 1000 AS first FROM whole
+   UNION ALL SELECT t.chain_id, t.first, 999 - w.best[t.first + 1] % 1000 FROM trace t JOIN whole w USING (chain_id) WHERE t.first > 0),
+ cut_runs AS (SELECT t.chain_id, row_number() OVER (PARTITION BY t.chain_id ORDER BY t.last) - 1 AS run, t.first, t.last, w.p[t.last + 1] - w.p[t.first + 1] AS length
+   FROM trace t JOIN whole w USING (chain_id))"""
+
+
+@query("g4_runs", SPLICES + _BACK + """ SELECT c.chain_id, CAST(c.run AS INT) AS run,
+ (SELECT min(s.route_id) FROM spans s WHERE s.chain_id = c.chain_id AND s.lo <= c.first AND c.last <= s.hi) AS route_id, c.length, CAST(c.last - c.first AS INT) AS hops,
+ CAST(coalesce((SELECT max(r.priority) FROM ridden r WHERE r.chain_id = c.chain_id AND r.lo < c.last AND c.first < r.hi), 0) AS INT) AS priority,
+ f.place AS start_place, t.place AS end_place
+ FROM cut_runs c JOIN chain_stops f ON f.chain_id = c.chain_id AND f.k = c.first JOIN chain_stops t ON t.chain_id = c.chain_id AND t.k = c.last""")
 def _(spark, sf):
     return _scored(spark, sf).select("chain_id", F.posexplode("runs").alias("run", "r")).select("chain_id", "run", "r.*")
 
@@ -897,6 +1013,25 @@ def _(spark, sf):
     return _cheapest(spark, sf, tier=F.lit(0), ban=sh.ready(spark, sf).ban)
 
 
+_TIERS = """both_edges AS (SELECT a, b, a AS here, b AS there, route_id, worst FROM edges JOIN eprio USING (a, b) UNION ALL SELECT a, b, b, a, route_id, worst FROM edges JOIN eprio USING (a, b))"""
+_MARKED = tb.MARKS_SQL.strip().lstrip(",") + """,
+ marked AS (SELECT h.route_id, least(p, q) AS a, greatest(p, q) AS b, m.priority FROM hops h JOIN marks m USING (route_id) WHERE h.pos < 2),
+ eprio AS (SELECT a, b, min(coalesce(priority, 0)) AS worst FROM edges LEFT JOIN marked USING (route_id, a, b) GROUP BY 1, 2),
+ """
+_PLAIN_EDGES = "both_edges AS (SELECT a, b, a AS here, b AS there, route_id FROM edges UNION ALL SELECT a, b, b, a, route_id FROM edges)"
+
+
+def _tier_cost(name: str, tier: int) -> None:
+    @query(name, _H1.replace(_PLAIN_EDGES, _MARKED + _TIERS).format(
+        toll=f"CASE WHEN e.worst > {tier} THEN 1000000 * (SELECT count(*) + 1 FROM places) ELSE 0 END"))
+    def _(spark, sf):
+        return _cheapest(spark, sf, tier=F.lit(tier), ban=sh.ready(spark, sf).ban)
+
+
+_tier_cost("h3_tier_one_cost", 1)
+_tier_cost("h3_tier_two_cost", 2)
+
+
 @query("h4_avoiding_via_cost", _H1.replace("FROM st s JOIN both_edges", "FROM st s JOIN od o ON o.qid = s.qid JOIN both_edges").format(
     toll="CASE WHEN o.via_place IN (e.a, e.b) THEN 1000000 * (SELECT count(*) + 1 FROM places) ELSE 0 END"))
 def _(spark, sf):
@@ -1131,7 +1266,12 @@ def _articulation(spark, sf) -> DataFrame:
     return sh.once("cuts", spark, sf, lambda: cut(insights.articulation_points(n.edges, n.degree), "cuts"))
 
 
-@query("k2_articulation_points")
+_CUT_PLACES = """,
+ reach(v, x) AS (SELECT place, min(neighbour) FROM near GROUP BY 1 UNION SELECT r.v, n.neighbour FROM reach r JOIN near n ON n.place = r.x WHERE n.neighbour <> r.v),
+ cut_places AS (SELECT DISTINCT n.place FROM near n LEFT JOIN reach r ON r.v = n.place AND r.x = n.neighbour WHERE r.v IS NULL)"""
+
+
+@query("k2_articulation_points", EDGES + _CUT_PLACES + " SELECT place FROM cut_places")
 def _(spark, sf):
     return _articulation(spark, sf)
 
@@ -1158,7 +1298,8 @@ def _(spark, sf):
     return insights.summary(sh.net(spark, sf).degree, sh.components(spark, sf))
 
 
-@query("k5_node_metrics")
+@query("k5_node_metrics", COMP + _CUT_PLACES + """ SELECT d.place, CAST(d.degree AS BIGINT) AS degree, c.component, p.place IS NOT NULL AS is_articulation,
+ CASE WHEN d.degree = 0 THEN 'isolated' WHEN d.degree = 1 THEN 'leaf' END AS dead_end FROM degree d JOIN comp c USING (place) LEFT JOIN cut_places p ON p.place = d.place""")
 def _(spark, sf):
     return insights.node_metrics(sh.net(spark, sf).degree, sh.components(spark, sf), _articulation(spark, sf))
 

@@ -26,6 +26,13 @@ def once(name: str, spark: SparkSession, sf_dir: str, make: Callable[[], object]
         return _made[key]
 
 
+def forget(name: str) -> None:
+    """Make the table ``name`` anew when it is next asked for."""
+    with _lock:
+        for key in [k for k in _made if k[2] == name]:
+            del _made[key]
+
+
 def net(spark, sf_dir):
     return once("net", spark, sf_dir, lambda: tb.network(spark, sf_dir))
 
