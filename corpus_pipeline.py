@@ -7,12 +7,11 @@ the last packs what is left and returns its pieces. Columns other than ``doc_id`
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymesh.llm import decontaminate, langid, secret_scan
-from waymesh.llm.common import bounded_batches, id_and_text, keep_rows
+from waymesh.llm.common import bounded_batches, id_and_text, keep_rows, text_function
 from waymesh.llm.ngram_join import ngram_join
 from waymesh.llm.packing import pack_documents
 from waymesh.session import cut
@@ -67,24 +66,24 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document, with each secret replaced and ``n_chars`` counted anew where it changed."""
-    at, schema = docs.columns.index("text"), docs.schema
-    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    def run(batches):
+    def make():
         machine = secret_scan.keyword_automaton()
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            clean = [secret_scan.redact(t, machine, REDACTED) for t in texts]
-            columns = list(batch.columns)
-            columns[at] = pa.array(clean, batch.schema.field(at).type)
-            if counted is not None:
-                sizes = batch.column(counted).to_pylist()
-                sizes = [n if c == t else len(c) for n, t, c in zip(sizes, texts, clean, strict=True)]
-                columns[counted] = pa.array(sizes, batch.schema.field(counted).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+        def changed(text: str | None) -> str | None:
+            clean = secret_scan.redact(text, machine, REDACTED)
+            return None if clean == text else clean
+
+        return changed
 
     bounded_batches(spark)
-    return docs.mapInArrow(run, schema)
+    clean = text_function(make, "string")(docs["text"])
+    again = docs.withColumn("_clean", clean)
+    out = {"text": F.coalesce("_clean", "text")}
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        out["n_chars"] = F.when(F.col("_clean").isNull(), F.col("n_chars")).otherwise(F.length("_clean").cast(kind))
+    return again.select(*[out[c].alias(c) if c in out else again[c] for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,17 +54,23 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataF
     return map_frames(df, run, schema)
 
 
-def keep_rows(df: DataFrame, make: Callable[[], Callable[[str | None], bool]], text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, with all their columns, whose text passes the test that ``make()`` gives."""
-    at = df.columns.index(text_col)
+def text_function(make: Callable[[], Callable[[str | None], object]], kind: str):
+    """A column function of a text. ``make()`` runs once in every task; only the text goes to
+    Python and only the result comes back, the other columns stay where they are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = make()
-        for batch in batches:
-            yield batch.filter(pa.array([keep(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+    @F.pandas_udf(kind)
+    def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        work = make()
+        for texts in batches:
+            yield pd.Series([work(t) for t in texts], dtype=object)
 
+    return of_texts
+
+
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[str | None], bool]], text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text passes the test that ``make()`` gives."""
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    return df.where(text_function(make, "boolean")(df[text_col]))
 
 
 def sorted_groups(

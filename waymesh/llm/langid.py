@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymesh.llm.common import held_out, id_and_text, map_rows
+from waymesh.session import cut, retire
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -24,9 +25,9 @@ LONGEST_GRAM = 5
 #: The model is fitted on about so many labelled rows of each language, picked by a hash of the id.
 FIT_ROWS = 2000
 #: A word or n-gram is known from so many occurrences on.
-LEAST_COUNT = 2
+LEAST_COUNT = 3
 #: Unseen words a task remembers before it forgets them all.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def words_of(text: str) -> list[str]:
@@ -34,11 +35,6 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def grams_of(word: str) -> list[str]:
-    padded = f"_{word}_"
-    return [padded[i : i + n] for n in range(1, LONGEST_GRAM + 1) for i in range(len(padded) - n + 1)]
-
-
 @dataclass
 class LanguageModel:
     """Log frequencies: one row of ``vectors`` for each word, then each n-gram."""
@@ -124,26 +120,38 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
                 words = Counter()
                 for text in texts:
                     words.update(words_of(text))
-                grams = Counter()
-                for word, n in words.items():
-                    for gram in grams_of(word):
-                        grams[gram] += n
-                made += [(lang, True, w, n) for w, n in words.items()] + [(lang, False, g, n) for g, n in grams.items()]
-            return pd.DataFrame(made, columns=["lang", "whole", "unit", "n"])
+                made += [(languages.index(lang), w, n) for w, n in words.items()]
+            return pd.DataFrame(made, columns=["lang", "word", "n"])
 
         return work
 
-    counts = (
-        map_rows(known.where(chosen).select("lang", "text"), count, "lang string, whole boolean, unit string, n long")
-        .groupBy("whole", "unit")
-        .pivot("lang", languages)
+    each = [str(i) for i in range(len(languages))]  # a column for each language, named by number
+    words = cut(
+        map_rows(known.where(chosen).select("lang", "text"), count, "lang int, word string, n long")
+        .groupBy("word")
+        .pivot("lang", list(range(len(languages))))
         .agg(F.sum("n"))
-        .na.fill(0)
-        .where(sum((F.col(f"`{x}`") for x in languages), F.lit(0)) >= LEAST_COUNT)
+        .na.fill(0),
+        "words",
+    )
+    sums = [F.sum(f"`{x}`").alias(x) for x in each]
+    grams = (
+        words.withColumn("padded", F.concat(F.lit("_"), "word", F.lit("_")))
+        .withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.length("padded"), F.lit(LONGEST_GRAM)))))
+        .withColumn("at", F.explode(F.expr("sequence(1, length(padded) - size + 1)")))
+        .groupBy(F.expr("substring(padded, at, size)").alias("unit"))
+        .agg(*sums)
+    )
+    often = sum((F.col(f"`{x}`") for x in each), F.lit(0)) >= LEAST_COUNT
+    counts = (
+        words.select(F.lit(True).alias("whole"), F.col("word").alias("unit"), *[f"`{x}`" for x in each])
+        .unionByName(grams.withColumn("whole", F.lit(False)))
+        .where(often)
         .orderBy(F.desc("whole"), "unit")
         .toPandas()
     )
-    numbers = counts[languages].to_numpy(dtype=np.float64)
+    retire(words)
+    numbers = counts[each].to_numpy(dtype=np.float64)
     kind = np.where(counts["whole"], 0, counts["unit"].str.len()) if len(counts) else np.zeros(0)
     vectors = np.zeros(numbers.shape, dtype=np.float32)
     for k in np.unique(kind):  # frequencies among words, and among n-grams of one length
