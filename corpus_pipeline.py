@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymesh.llm import decontaminate, langid, secret_scan
-from waymesh.llm.common import bounded_batches, id_and_text, keep_rows, text_function
+from waymesh.llm.common import bounded_batches, id_and_text, keep_rows, sift, text_function
 from waymesh.llm.ngram_join import ngram_join
 from waymesh.llm.packing import pack_documents
 from waymesh.session import cut
@@ -49,13 +49,15 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Rows with that id stay; of those that are equal in text as well, one.
     """
-    kept = ngram_join(docs).where("is_kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    kept = cut(kept, "kept")
-    same = docs["doc_id"].eqNullSafe(F.col("_kept"))
-    if kept.where("_rows > 1").isEmpty():
-        return docs.join(kept, same, "left_semi")
-    once = docs.join(kept.where("_rows = 1"), same, "left_semi")
-    return once.unionByName(docs.join(kept.where("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    rows = ngram_join(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.count_if("is_kept").alias("_kept"))
+    special = cut(rows.where("_kept <> 1"), "special")  # ids that go, or that several rows share
+    sifted = sift(docs, special)
+    plain = sifted.where("not _hit").drop("_hit")
+    known = sifted.where("_hit").drop("_hit").join(special, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    left = plain.unionByName(known.where("_kept is null").drop("_id", "_kept"))
+    if special.where("_kept > 1").isEmpty():
+        return left
+    return left.unionByName(known.where("_kept > 1").drop("_id", "_kept").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,6 +73,30 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable[[str | None], bool]], t
     return df.where(text_function(make, "boolean")(df[text_col]))
 
 
+#: Bits of a sieve: what is sent to every task has at most SIEVE_BITS / 64 rows of two numbers.
+SIEVE_BITS = 1 << 24
+
+
+def sift(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``df`` with ``_hit``: false for rows whose id is surely not in the first column of ``ids``.
+
+    One bit for the hash of every id, in a table of bounded size whatever the number of ids.
+    Rows that are hit have to be joined with ``ids`` to be sure; the others need no shuffle. With
+    many more ids than bits every row is hit and the join sees them all.
+    """
+    place = lambda column: F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
+    bit = lambda column: F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
+    marks = ids.select(place(F.col(ids.columns[0])).alias("_place")).select(F.shiftright("_place", 6).alias("_word"), bit("_place").alias("_bit"))
+    words = marks.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return (
+        df.withColumn("_place", place(df[id_col]))
+        .withColumn("_word", F.shiftright("_place", 6))
+        .join(F.broadcast(words), "_word", "left")
+        .withColumn("_hit", F.coalesce(F.col("_bits").bitwiseAND(bit("_place")) != 0, F.lit(False)))
+        .select(*[df[c] for c in df.columns], "_hit")
+    )
+
+
 def sorted_groups(
     df: DataFrame, key: str, work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, order: tuple[str, ...] = ()
 ) -> DataFrame:

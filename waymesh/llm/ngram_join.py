@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymesh.llm.common import id_and_text, map_rows, sorted_groups
+from waymesh.llm.common import id_and_text, map_rows, sift, sorted_groups
 from waymesh.session import NotConverged, cut, retire
 
 WORDS = 5
@@ -337,6 +337,7 @@ def ngram_join(
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
     chosen = clusters.join(sizes, "root").join(sets.select("key", "first", "no_id"), "key")
     wanted = chosen.select("key", "root", "size", F.when(F.col("no_id") == 0, F.col("first")).alias("doc_id"))
+    wanted = cut(wanted, "wanted")
 
     def build():
         def work(batch: pd.DataFrame) -> pd.DataFrame:
@@ -345,7 +346,8 @@ def ngram_join(
 
         return work
 
-    sources = texts.join(wanted.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    asked = wanted.select(F.col("doc_id").alias("_id"))
+    sources = sift(texts, asked).where("_hit").join(asked, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     full = map_rows(sources.select("text"), build, "key binary, grams binary")
     pairs = dealt_in_blocks(full.join(wanted.select("key", "root", "size"), "key"), "root", "size", block)
     linked = sorted_groups(
