@@ -54,6 +54,33 @@ def test_equal_articles_stay(spark):
     assert hx.extract_pages(pages_of(spark, [])).count() == 0
 
 
+def several(k, n):
+    return " ".join(f"page {k} part {i}" for i in range(n)), "".join(f"<p>page {k} part {i}</p>" for i in range(n))
+
+
+@pytest.mark.parametrize(("copies", "paragraphs"), [(20, 2), (8, 10), (200, 10)])
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<div class='text'>{}</div>"])
+@pytest.mark.parametrize("others", [0, 1, 12])
+def test_equal_pages_of_several_paragraphs_stay(spark, copies, paragraphs, frame, others):
+    pages = [several(0, paragraphs)] * copies + [several(k, 3) for k in range(1, others + 1)]
+    rows = [(i, "https://one.example/", f"<body><script>{i}</script><div class='top'>Welcome</div>{frame.format(p)}</body>") for i, (_, p) in enumerate(pages)]
+    got = {r.page_id: r.text for r in hx.extract_pages(pages_of(spark, rows)).collect()}
+    cut = "article" in frame or others == 12  # the rule for articles, or enough different pages to tell
+    assert got == {i: ("" if cut else "Welcome ") + t for i, (t, _) in enumerate(pages)}
+
+
+def test_an_article_shown_again_counts_once(spark):
+    text, body = several(0, 2)
+    rows = [(i, "https://one.example/", f"<div class='time'>at {i}</div><article>{body}</article>") for i in range(20)]
+    assert {r.text for r in hx.extract_pages(pages_of(spark, rows)).collect()} == {text}
+
+
+def test_what_holds_a_kept_branch_is_kept(spark):
+    tree = [("h", p, p.endswith("p"), 20, 20, v) for p, v in (("html", 0.0), ("html/body", 0.0), ("html/body/p", 1.0), ("html/body/div", 0.1), ("html/body/div/ul", 0.2))]
+    frame = spark.createDataFrame(tree, "host string, path string, inside boolean, occurrences long, pages long, importance double")
+    assert [r.paths for r in hx.low_branches(frame).collect()] == [["html/body/div", "html/body/div/ul"]]
+
+
 def test_whole_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r.text for r in hx.extract_pages(pages).collect()}

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -224,6 +225,12 @@ def features_of(source: str | None) -> list[tuple[str, bool, int, int]]:
     return found
 
 
+def page_key(found: list[tuple[str, bool, int, int]], inside: bool) -> int:
+    """What stands for a page among those of its host: its article alone for what is inside one, else the whole page."""
+    known = [f for f in found if f[1]] if inside else found
+    return xxhash.xxh64_intdigest(repr(known)) >> 1
+
+
 def host_of(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
@@ -233,24 +240,30 @@ def site_tree(pages: DataFrame) -> DataFrame:
 
     ``host, path, inside, occurrences, pages, presentation, content, importance``: entropies of
     an element's presentations and contents, from 0 (always the same) to 1 (never twice).
+    Pages that are equal in all elements count once, and so do articles for what is inside them:
+    a copy says nothing about what varies.
     """
 
     def make():
         def work(batch: pd.DataFrame) -> pd.DataFrame:
             rows = []
             for host, source in zip(batch["host"], batch["html"], strict=True):
+                found = features_of(source)
+                known = {side: page_key(found, side) for side in (False, True)}
                 seen = set()
-                for path, inside, style, content in features_of(source):
-                    rows.append((host, path, inside, style, content, int(path not in seen)))
+                for (path, inside, style, content), n in Counter(found).items():
+                    rows.append((host, known[inside], path, inside, style, content, n, int(path not in seen)))
                     seen.add(path)
-            return pd.DataFrame(rows, columns=["host", "path", "inside", "style", "content", "page"])
+            return pd.DataFrame(rows, columns=["host", "key", "path", "inside", "style", "content", "n", "page"])
 
         return work
 
-    elements = map_rows(pages.select("host", "html"), make, "host string, path string, inside boolean, style long, content long, page long")
+    schema = "host string, key long, path string, inside boolean, style long, content long, n long, page long"
+    # Equal pages give equal rows, of which one counts. Most fall together before rows are sent.
+    elements = map_rows(pages.select("host", "html"), make, schema).distinct()
     # Either kind of feature is counted per value before paths are summed up, so no path gathers in one task.
-    kinds = elements.select("host", "path", "inside", F.expr("stack(2, 's', style, page, 'c', content, 0L) as (kind, value, page)"))
-    counts = kinds.groupBy("host", "path", "inside", "kind", "value").agg(F.count("*").alias("n"), F.sum("page").alias("pages"))
+    kinds = elements.select("host", "path", "inside", "n", F.expr("stack(2, 's', style, page, 'c', content, 0L) as (kind, value, page)"))
+    counts = kinds.groupBy("host", "path", "inside", "kind", "value").agg(F.sum("n").alias("n"), F.sum("page").alias("pages"))
     sums = counts.groupBy("host", "path", "inside").agg(
         F.sum(F.when(F.col("kind") == "c", F.col("n"))).alias("occurrences"),
         F.sum("pages").alias("pages"),
@@ -264,20 +277,24 @@ def site_tree(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(tree: DataFrame) -> DataFrame:
-    """``host, paths``: what to cut from a site's pages."""
+    """``host, paths``: what to cut from a site's pages, never a branch that holds one to keep."""
     judged = tree.where((F.col("occurrences") >= LEAST_OCCURRENCES) & (F.col("pages") >= LEAST_OCCURRENCES))
     best = judged.groupBy("host").agg(F.max("importance").alias("best"))
     least = F.when(F.col("inside"), LEAST_INSIDE).otherwise(LEAST_OUTSIDE)
-    low = judged.join(best, "host").where(F.col("importance") < least * F.col("best"))
-    return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    low = judged.join(best, "host").where(F.col("importance") < least * F.col("best")).select("host", "path")
+    kept = tree.select("host", "path").join(low, ["host", "path"], "left_anti")
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
+    holders = kept.where(F.size(steps) > 1).select("host", F.explode(above).alias("path")).distinct()
+    return low.join(holders, ["host", "path"], "left_anti").groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: ``page_id, url, text, n_chars``.
 
     A null page counts as empty; a page without main text has an empty one. Pages whose url is
-    null or names no host form a site of their own. Repeated rows count as pages and keep their
-    rows; an empty table gives none; further columns are ignored.
+    null or names no host form a site of their own. Repeated rows keep their rows and count as one
+    page; an empty table gives none; further columns are ignored.
     """
     own = pages.select(
         pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html")
