@@ -7,7 +7,8 @@ importance, and its branch is cut from every page. Importance is entropy, normal
 number of occurrences, so it needs no list of texts and no page is compared with another.
 
 Elements that announce themselves as navigation, advert, form, comment and the like have no
-importance from the start, which also serves sites with too few pages for statistics.
+importance from the start, which also serves sites with too few pages for statistics. Names that
+may as well be the layout's say nothing of an article below them, nor of its paragraphs.
 """
 
 from __future__ import annotations
@@ -62,12 +63,28 @@ MARKING_WORDS = frozenset(
     "login search comment comments disqus discussion reply replies respond responses pagination pager toolbar copyright skip "
     "topbar subnav sidenav sitenav adbox adslot adunit adsense cookiebar infobar trending popular teaser teasers".split()
 )
+#: Marking words for what comes from elsewhere. These hold for articles below, too; the others,
+#: like a form around the page, say how a page is laid out as often as what it holds.
+FOREIGN_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising promo promotion sponsor sponsored adbox adslot adunit adsense sidebar sidenav "
+    "widget widgets related recommended teaser teasers popular trending comments comment disqus discussion reply replies respond "
+    "responses newsletter cookie cookies cookiebar consent gdpr".split()
+)
+#: Before a marking word: the element is not the thing but has it, or lacks it.
+MODIFIERS = frozenset("has have no not non without with is hide hides show shows hidden".split())
+#: After a marking word: a state or a kind of page.
+STATES = frozenset("page layout fixed sticky open closed enabled visible active board".split())
 MARKING_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 
 TAG = re.compile(r"<(?:!--(.*?)(?:-->|$)|[!?][^>]*>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 NAMED = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PART = re.compile(r"[A-Za-z]+")
 
+#: How far a mark reaches: to articles below, through them, or to everything.
+LAYOUT, FOREIGN, ALL = 1, 2, 3
+#: What text is set in; inside an article it is judged by the tree, not by its name.
+SET_TEXT = HEADINGS | frozenset("p pre blockquote figcaption".split())
+
 #: A path is judged if it occurs so often, on so many pages.
 LEAST_OCCURRENCES = 8
 #: Share of content in importance; presentation has the rest.
@@ -82,10 +99,14 @@ class Node:
 
     tag: str
     path: str
-    marked: bool
+    mark: int
     inside: bool
     parts: list = field(default_factory=list)
 
+    @property
+    def marked(self) -> bool:
+        return self.mark > 0
+
     def elements(self):
         return [p for p in self.parts if isinstance(p, Node)]
 
@@ -94,23 +115,54 @@ def attributes_of(source: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in NAMED.finditer(source)} if source else {}
 
 
-def says_it_is_not_content(tag: str, given: dict[str, str]) -> bool:
-    """Whether the element is of a dropped kind or carries a marking word, a role, or is hidden."""
+def marking_words(names: str) -> set[str]:
+    """The marking words of a class or id: a name means one by its first part or its last, without modifiers and states."""
+    found = set()
+    for name in names.split():
+        parts = [w.lower() for w in PART.findall(name)]
+        if len(parts) > 1 and (parts[0] in MODIFIERS or parts[-1] in STATES):
+            continue
+        found |= {*parts[:1], *parts[-1:]} & MARKING_WORDS
+    return found
+
+
+def mark_of(tag: str, given: dict[str, str], inside: bool, lifted: bool) -> int:
+    """0, or how far the mark reaches that an element has by its kind, a role, a marking word or being hidden."""
+    if tag == "form" and not inside:
+        return 0 if lifted else LAYOUT
     if tag in DROPPED:
-        return True
+        return ALL
     if tag in ("html", "body", *MAIN):
-        return False
+        return 0
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in MARKING_ROLES:
-        return True
+        return ALL
     if re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
-        return True
-    words = {w.lower() for key in ("class", "id") for w in PART.findall(given.get(key, ""))}
-    return bool(words & MARKING_WORDS)
+        return ALL
+    if inside and tag in SET_TEXT:
+        return 0
+    words = marking_words(given.get("class", "")) | marking_words(given.get("id", ""))
+    return FOREIGN if words & FOREIGN_WORDS else LAYOUT if words else 0
 
 
 def parse(source: str) -> Node:
-    """The tree of a page; tags left open or closed twice do no harm."""
-    root = Node("html", "html", False, False)
+    """The tree of a page. Where marks leave no text, forms don't mark and no word does beyond an article's start."""
+    root = tree_of(source)
+    return root if has_text(root) else tree_of(source, True)
+
+
+def has_text(node: Node) -> bool:
+    waiting = [node]
+    while waiting:
+        n = waiting.pop()
+        if not n.marked and any(isinstance(p, str) and p.strip() for p in n.parts):
+            return True
+        waiting += n.elements()
+    return False
+
+
+def tree_of(source: str, lifted: bool = False) -> Node:
+    """The tree of a page by its marks; tags left open or closed twice do no harm."""
+    root = Node("html", "html", 0, False)
     stack = [root]
     at = 0
 
@@ -148,8 +200,10 @@ def parse(source: str) -> Node:
         name = f"{tag}.{first[0].lower()}" if first and tag not in INLINE else tag
         inside = parent.inside or tag in MAIN
         keeps_heading = tag in HEADINGS and parent.tag == "header" and parent.inside
-        marked = not keeps_heading and (parent.marked or says_it_is_not_content(tag, given))
-        node = Node(tag, f"{parent.path}/{name}", marked, inside)
+        mark = 0 if keeps_heading else max(parent.mark, mark_of(tag, given, parent.inside, lifted))
+        if tag in MAIN and mark <= (FOREIGN if lifted else LAYOUT):
+            mark = 0
+        node = Node(tag, f"{parent.path}/{name}", mark, inside)
         parent.parts.append(node)
         if tag in VOID or match[4].endswith("/") and tag not in RAW:
             continue
@@ -192,9 +246,9 @@ def main_text(source: str | None, cut_paths: frozenset[str] = frozenset()) -> st
 
         def collect(n: Node, tag=tag, found=found) -> None:
             for child in n.elements():
-                if child.path in cut_paths or child.marked:
+                if child.path in cut_paths:
                     continue
-                if child.tag == tag:
+                if child.tag == tag and not child.marked:
                     found.append(child)
                 else:
                     collect(child)
@@ -299,7 +353,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     own = pages.select(
         pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html")
     ).withColumn("host", host_of(F.col("url")))
-    low = cut(low_branches(site_tree(own)), "low_branches")
+    low = cut(low_branches(cut(site_tree(own), "site_tree")), "low_branches")
 
     def make():
         def work(batch: pd.DataFrame) -> pd.DataFrame:
