@@ -93,6 +93,14 @@ def test_equal_pages_of_several_paragraphs_stay(spark, copies, paragraphs, frame
     assert got == {i: ("" if cut else "Welcome ") + t for i, (t, _) in enumerate(pages)}
 
 
+def test_small_sites_learn_from_all(spark):
+    page = "<div class='top'>Welcome to {0}</div><div class='text'><p>story {0} {1}</p><p>goes on {1}</p></div>"
+    hosts = [(h, i) for h in range(4) for i in range(5)] + [(9, 0)]
+    rows = [(100 * h + i, f"https://h{h}.example/{i}", page.format(h, i)) for h, i in hosts]
+    got = {r.page_id: r.text for r in hx.extract_pages(pages_of(spark, rows)).collect()}
+    assert got == {100 * h + i: f"story {h} {i} goes on {i}" for h, i in hosts}
+
+
 def test_an_article_shown_again_counts_once(spark):
     text, body = several(0, 2)
     rows = [(i, "https://one.example/", f"<div class='time'>at {i}</div><article>{body}</article>") for i in range(20)]

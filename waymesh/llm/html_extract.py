@@ -5,6 +5,7 @@ site's pages show some mix of presentations (sequences of child elements) and of
 (texts). An element whose presentations and contents hardly vary over the site is of low
 importance, and its branch is cut from every page. Importance is entropy, normalised by the
 number of occurrences, so it needs no list of texts and no page is compared with another.
+A site of few pages takes over what its paths are like on other sites.
 
 Elements that announce themselves as navigation, advert, form, comment and the like have no
 importance from the start, which also serves sites with too few pages for statistics. Names that
@@ -87,6 +88,8 @@ SET_TEXT = HEADINGS | frozenset("p pre blockquote figcaption".split())
 
 #: A path is judged if it occurs so often, on so many pages.
 LEAST_OCCURRENCES = 8
+#: Sites with several pages each that a path needs for its importance over all sites.
+LEAST_SITES = 3
 #: Share of content in importance; presentation has the rest.
 CONTENT_SHARE = 0.9
 #: A branch goes if its importance is below this share of the site's most important element.
@@ -332,7 +335,19 @@ def site_tree(pages: DataFrame) -> DataFrame:
 
 def low_branches(tree: DataFrame) -> DataFrame:
     """``host, paths``: what to cut from a site's pages, never a branch that holds one to keep."""
-    judged = tree.where((F.col("occurrences") >= LEAST_OCCURRENCES) & (F.col("pages") >= LEAST_OCCURRENCES))
+    enough = (F.col("occurrences") >= LEAST_OCCURRENCES) & (F.col("pages") >= LEAST_OCCURRENCES)
+    several = tree.where("pages > 1").withColumn("weight", F.col("occurrences") * F.log("occurrences"))
+    over_all = several.groupBy("path").agg(
+        (F.sum(F.col("importance") * F.col("weight")) / F.sum("weight")).alias("usual"), F.count("*").alias("sites"), F.sum("pages").alias("seen")
+    )
+    over_all = over_all.where((F.col("sites") >= LEAST_SITES) & (F.col("seen") >= LEAST_OCCURRENCES)).select("path", "usual")
+    # The fewer pages a site has, the more it counts what its paths are like elsewhere.
+    backed = (F.col("pages") * F.col("importance") + LEAST_OCCURRENCES * F.col("usual")) / (F.col("pages") + LEAST_OCCURRENCES)
+    judged = (
+        tree.join(over_all, "path", "left")
+        .where(enough | F.col("usual").isNotNull())
+        .withColumn("importance", F.when(enough, F.col("importance")).otherwise(backed))
+    )
     best = judged.groupBy("host").agg(F.max("importance").alias("best"))
     least = F.when(F.col("inside"), LEAST_INSIDE).otherwise(LEAST_OUTSIDE)
     low = judged.join(best, "host").where(F.col("importance") < least * F.col("best")).select("host", "path")
