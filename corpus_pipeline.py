@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from waymesh.llm import decontaminate, langid, secret_scan
 from waymesh.llm.common import bounded_batches, id_and_text, keep_rows, sift, text_function
-from waymesh.llm.ngram_join import ngram_join
+from waymesh.llm.ngram_join import ngram_rows
 from waymesh.llm.packing import pack_documents
 from waymesh.session import cut
 
@@ -45,19 +45,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of every group of near duplicates, the document with the smallest id.
+    """Keeps, of every group of near duplicates, one row: that with the smallest id.
 
-    Rows with that id stay; of those that are equal in text as well, one.
+    A null id is taken as smaller than any. Rows are told apart by id and text, so rows that
+    share an id, or have none, are each judged by their own group.
     """
-    rows = ngram_join(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.count_if("is_kept").alias("_kept"))
-    special = cut(rows.where("_kept <> 1"), "special")  # ids that go, or that several rows share
-    sifted = sift(docs, special)
-    plain = sifted.where("not _hit").drop("_hit")
-    known = sifted.where("_hit").drop("_hit").join(special, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    left = plain.unionByName(known.where("_kept is null").drop("_id", "_kept"))
-    if special.where("_kept > 1").isEmpty():
+    rows = ngram_rows(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), "root")
+    pairs = cut(rows.groupBy("_id", "_text", "root").agg(F.count("*").alias("_rows")), "pairs")
+    heads = pairs.groupBy("root").agg(F.min(F.struct("_id", "_text")).alias("head")).select(F.col("head._id").alias("id"), F.col("head._text").alias("text"))
+    judged = pairs.join(heads, pairs["_id"].eqNullSafe(heads["id"]) & (pairs["_text"] == heads["text"]), "left")
+    kept = F.col("text").isNotNull()
+    # Rows that go, or that are equal to others in id and text.
+    special = judged.where(~kept | (F.col("_rows") > 1)).select(F.xxhash64("_id", "_text").alias("_row"), "_id", "_text", kept.alias("_kept"))
+    special = cut(special, "special")
+    text_hash = F.xxhash64(docs["text"].cast("string"))
+    marked = docs.withColumn("_hash", text_hash).withColumn("_row", F.xxhash64(docs["doc_id"].cast("long"), text_hash))
+    sifted = sift(marked, special, "_row")
+    plain = sifted.where("not _hit").select(docs.columns)
+    same = sifted["doc_id"].eqNullSafe(special["_id"]) & (sifted["_hash"] == special["_text"])
+    known = sifted.where("_hit").join(special.drop("_row"), same, "left").select(*docs.columns, "_kept")
+    left = plain.unionByName(known.where("_kept is null").drop("_kept"))
+    if special.where("_kept").isEmpty():
         return left
-    return left.unionByName(known.where("_kept > 1").drop("_id", "_kept").dropDuplicates(["doc_id", "text"]))
+    return left.unionByName(known.where("_kept").drop("_kept").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

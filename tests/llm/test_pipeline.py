@@ -64,6 +64,15 @@ def test_clashing_columns_and_odd_rows(spark, tmp_path, docs_of):
         assert out.columns == docs.columns and out.count() > 0
 
 
+def test_rows_of_one_id_or_none_are_judged_by_their_own_group(spark, docs_of):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(4))
+    docs = docs_of([(7, a), (7, b + " more"), (3, b), (None, c), (None, c + " more"), (None, c), (9, c + " again"), (None, d), (8, a), (8, a)])
+    left = [(r.doc_id, r.text) for r in cp.keep_one_of_each_group(spark, docs, "").collect()]
+    assert len(left) == 4 and {(7, a), (3, b), (None, d)} < set(left)
+    assert [t for i, t in left if i is None and t != d][0] in (c, c + " more")
+
+
 def test_overlapping_spans_go_as_one():
     machine = secret_scan.keyword_automaton()
     text = "x token=" + "0123456789abcdef" * 2 + " y"

@@ -134,7 +134,7 @@ def set_key(values: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame, minhash: MinHash, words: int) -> DataFrame:
-    """``doc_id, key, bands, low``: class key, band hashes, low bits of the minima."""
+    """``doc_id, text_hash, key, bands, low``: class key, band hashes, low bits of the minima."""
 
     def make():
         def work(batch: pd.DataFrame) -> pd.DataFrame:
@@ -145,11 +145,13 @@ def describe(docs: DataFrame, minhash: MinHash, words: int) -> DataFrame:
                 rows.append((set_key(values), minhash.band_hashes(minima), minima.astype(np.uint8).tobytes()))
             out = pd.DataFrame(rows, columns=["key", "bands", "low"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy(dtype=object))
+            out.insert(1, "text_hash", batch["text_hash"].to_numpy())
             return out
 
         return work
 
-    return map_rows(docs, make, "doc_id long, key binary, bands array<long>, low binary")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return map_rows(hashed, make, "doc_id long, text_hash long, key binary, bands array<long>, low binary")
 
 
 @dataclass
@@ -313,6 +315,20 @@ def ngram_join(
     without words are linked only to equal texts. Of repeated rows, all carry the mark. A null
     id is taken as smaller than any. An empty table gives no rows; further columns are ignored.
     """
+    return ngram_rows(docs, words, threshold, recall, hashes, block, id_col, text_col).drop("text_hash", "root")
+
+
+def ngram_rows(
+    docs: DataFrame,
+    words: int = WORDS,
+    threshold: float = THRESHOLD,
+    recall: float = RECALL,
+    hashes: int = HASHES,
+    block: int = BLOCK,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """:func:`ngram_join` with ``text_hash``, which tells rows of one id apart, and the class's own key ``root``."""
     minhash = MinHash(*bands_and_rows(threshold, recall, hashes))
     texts = id_and_text(docs, id_col, text_col)
     described = cut(describe(texts, minhash, words), "minima")
@@ -361,7 +377,9 @@ def ngram_join(
     known = cut(known.withColumn("root", F.coalesce("root", "key")), "known")
     heads = known.groupBy("root").agg(F.min("first").alias("least"), F.max("no_id").alias("no_id"))
     ids = known.drop("first", "no_id").join(heads.select("root", F.when(F.col("no_id") == 0, F.col("least")).alias("class_id")), "root")
-    return described.select("doc_id", "key").join(ids, "key").select(
+    return described.select("doc_id", "text_hash", "key").join(ids, "key").select(
+        "text_hash",
+        "root",
         "doc_id",
         "class_id",
         F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"),
