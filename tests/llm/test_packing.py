@@ -84,3 +84,11 @@ def test_groups_meet_again(spark):
     got = pk.pack_pieces(pieces, 100, group_pieces=100).collect()
     assert sorted(r.doc_id for r in got) == list(range(400))
     assert gapless(got, 100) <= 1.1 * sum(r[3] for r in rows) / 100
+
+
+def test_groups_of_short_pieces_meet_again(spark):
+    rows = [(i, 0, 0, 1 + i % 3, i) for i in range(16000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = pk.pack_pieces(pieces, 1000, group_pieces=800).collect()
+    assert sorted(r.doc_id for r in got) == list(range(16000))
+    assert gapless(got, 1000) <= sum(r[3] for r in rows) // 1000 + 1

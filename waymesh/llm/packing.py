@@ -28,7 +28,7 @@ GROUP_PIECES = 8192
 #: Groups whose underfull bins meet again in one group.
 FAN_IN = 32
 #: Bins less full than this share may be opened again in the next round, the least full first,
-#: as many as leave the groups of that round no larger.
+#: as many as leave the groups of that round no larger, but always one.
 OPEN_BELOW = 15 / 16
 #: How many of the least filled bins one pass of the search tries to empty.
 TRIED_BINS = 8
@@ -231,7 +231,7 @@ class Packing:
 def packer(size: int, number: int, opened: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Packs the pieces of one group and marks at most ``opened`` pieces of underfull bins as open.
 
-    ``number`` is the round, part of the sequence's number.
+    The least full bin is opened whatever it holds, unless ``opened`` is 0. ``number`` is the round, part of the sequence's number.
     """
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
@@ -243,8 +243,9 @@ def packer(size: int, number: int, opened: int) -> Callable[[pd.DataFrame], pd.D
         first = (number << 58) + (int(rows["group"].iloc[0]) << 24)
         left = opened
         for b, held in enumerate(sorted(packing.bins, key=lambda x: x.fill)):
-            left -= len(held.items)
-            again[held.items] = left >= 0 and held.fill < size * OPEN_BELOW
+            if opened and held.fill < size * OPEN_BELOW and (b == 0 or len(held.items) <= left):
+                left -= len(held.items)
+                again[held.items] = True
             at = 0
             for i in held.items:
                 sequence[i], offset[i] = first + b, at
@@ -275,7 +276,8 @@ def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, group_pieces: int = GRO
         if groups == 1:
             break
         rest = packed.where("again")
-        groups = -(-groups // FAN_IN)
+        # Bins of many short pieces hand on more than a share; half the groups hold what any bins do.
+        groups = max(1, min(-(-rest.count() // group_pieces), -(-groups // 2)))
         number += 1
     out = done[0]
     for part in done[1:]:
