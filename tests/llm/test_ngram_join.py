@@ -101,3 +101,14 @@ def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     agree(nj.ngram_join(docs).collect(), [r[0] for r in rows], [r[1] for r in rows])
+
+
+def test_blocks_are_bounded_by_their_sets(spark, docs_of):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k:]) for k in range(0, 400, 10)]
+    agree(nj.ngram_join(docs_of(list(enumerate(texts))), block_grams=3000).collect(), range(len(texts)), texts)
+    members = spark.createDataFrame([(f"k{i}", "r", 400) for i in range(40)], "key string, root string, n_grams long")
+    sized = members.join(nj.cluster_sizes(members, nj.BLOCK, 3000), "root")
+    pairs = nj.dealt_in_blocks(sized, "root", "size", nj.BLOCK).groupBy("pair").agg(nj.F.sum("n_grams").alias("n"))
+    assert 1 < pairs.count() and pairs.agg(nj.F.max("n")).first()[0] < 40 * 400 * 0.75

@@ -33,6 +33,8 @@ HASHES = 192
 SLACK = 5.0
 #: Classes of a bucket or cluster that one task compares with as many others.
 BLOCK = 1024
+#: N-grams of the classes in a block, about: 16 MB of hashes, and some eight times that while a pair is compared.
+BLOCK_GRAMS = 1 << 21
 #: Columns of the incidence matrix held at a time.
 STRIP = 4096
 REMEMBERED = 500_000
@@ -134,7 +136,7 @@ def set_key(values: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame, minhash: MinHash, words: int) -> DataFrame:
-    """``doc_id, text_hash, key, bands, low``: class key, band hashes, low bits of the minima."""
+    """``doc_id, text_hash, key, n_grams, bands, low``: class key, size of the set, band hashes, low bits of the minima."""
 
     def make():
         def work(batch: pd.DataFrame) -> pd.DataFrame:
@@ -142,8 +144,8 @@ def describe(docs: DataFrame, minhash: MinHash, words: int) -> DataFrame:
             for text in batch["text"]:
                 values = shingles(text, words)
                 minima = minhash.minima(values)
-                rows.append((set_key(values), minhash.band_hashes(minima), minima.astype(np.uint8).tobytes()))
-            out = pd.DataFrame(rows, columns=["key", "bands", "low"])
+                rows.append((set_key(values), len(values), minhash.band_hashes(minima), minima.astype(np.uint8).tobytes()))
+            out = pd.DataFrame(rows, columns=["key", "n_grams", "bands", "low"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy(dtype=object))
             out.insert(1, "text_hash", batch["text_hash"].to_numpy())
             return out
@@ -151,7 +153,7 @@ def describe(docs: DataFrame, minhash: MinHash, words: int) -> DataFrame:
         return work
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return map_rows(hashed, make, "doc_id long, text_hash long, key binary, bands array<long>, low binary")
+    return map_rows(hashed, make, "doc_id long, text_hash long, key binary, n_grams long, bands array<long>, low binary")
 
 
 @dataclass
@@ -180,7 +182,7 @@ class Forest:
 def dealt_in_blocks(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
     """Rows of a group, each to every pair of blocks it belongs to: ``pair`` keys and ``side``.
 
-    A group of at most ``block`` rows is one pair. A larger one is split by a hash of ``key``
+    A group of a ``size`` of at most ``block`` is one pair. A larger one is split by a hash of ``key``
     into blocks, and each two of them meet in a task of their own.
     """
     n = F.ceil(F.col(size) / block).cast("int")
@@ -198,6 +200,12 @@ def dealt_in_blocks(rows: DataFrame, group: str, size: str, block: int) -> DataF
     )
 
 
+def cluster_sizes(members: DataFrame, block: int, block_grams: int) -> DataFrame:
+    """``root, size`` of the clusters in ``members(root, n_grams)``: classes, or more if their sets need more blocks."""
+    counted = members.groupBy("root").agg(F.count("*").alias("classes"), F.sum("n_grams").alias("grams"))
+    return counted.select("root", F.greatest(F.col("classes"), F.ceil(F.col("grams") * F.lit(block / block_grams))).alias("size"))
+
+
 def near_in_bucket(least: float):
     """Spanning stars of the pairs of a bucket whose minima agree often enough."""
 
@@ -303,6 +311,7 @@ def ngram_join(
     recall: float = RECALL,
     hashes: int = HASHES,
     block: int = BLOCK,
+    block_grams: int = BLOCK_GRAMS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -315,7 +324,7 @@ def ngram_join(
     without words are linked only to equal texts. Of repeated rows, all carry the mark. A null
     id is taken as smaller than any. An empty table gives no rows; further columns are ignored.
     """
-    return ngram_rows(docs, words, threshold, recall, hashes, block, id_col, text_col).drop("text_hash", "root")
+    return ngram_rows(docs, words, threshold, recall, hashes, block, block_grams, id_col, text_col).drop("text_hash", "root")
 
 
 def ngram_rows(
@@ -325,6 +334,7 @@ def ngram_rows(
     recall: float = RECALL,
     hashes: int = HASHES,
     block: int = BLOCK,
+    block_grams: int = BLOCK_GRAMS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -337,6 +347,7 @@ def ngram_rows(
             F.min("doc_id").alias("first"),
             F.count("*").alias("n_copies"),
             F.count(F.when(F.col("doc_id").isNull(), 1)).alias("no_id"),
+            F.first("n_grams").alias("n_grams"),
             F.first("bands").alias("bands"),
             F.first("low").alias("low"),
         ),
@@ -350,8 +361,8 @@ def ngram_rows(
     near = sorted_groups(buckets, "pair", near_in_bucket(least_estimate(threshold, hashes)), "a binary, b binary")
     clusters = cut(components(cut(near.distinct(), "near")), "clusters")
 
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    chosen = clusters.join(sizes, "root").join(sets.select("key", "first", "no_id"), "key")
+    members = clusters.join(sets.select("key", "first", "no_id", "n_grams"), "key")
+    chosen = members.join(cluster_sizes(members, block, block_grams), "root")
     wanted = chosen.select("key", "root", "size", F.when(F.col("no_id") == 0, F.col("first")).alias("doc_id"))
     wanted = cut(wanted, "wanted")
 
