@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from waymesh.llm import warc
+from waymesh.llm.conversation import repair_conversations
 from waymesh.llm.decontaminate import find_leaks
 from waymesh.llm.fingerprint import fingerprint_edits
 from waymesh.llm.html_extract import extract_pages
@@ -132,3 +133,8 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
 @query
 def op13_merkle_manifest(spark, sf_dir):
     return manifest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    return repair_conversations(table(spark, sf_dir, "conversations"))
