@@ -13,14 +13,15 @@ from waymesh.llm.fingerprint import fingerprint_edits
 from waymesh.llm.html_extract import extract_pages
 from waymesh.llm.langid import predict_languages
 from waymesh.llm.merkle import manifest
+from waymesh.llm.near_dedup import near_duplicates
 from waymesh.llm.ngram_join import ngram_join
 from waymesh.llm.packing import pack_documents
 from waymesh.llm.secret_scan import scan_secrets
 from waymesh.llm.sharding import assign_shards
 from waymesh.llm.toxicity import predict_toxicity
+from waymesh.llm.twins import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(fn):
@@ -101,35 +102,6 @@ def op3_warc_derivatives(spark, sf_dir):
     return warc.derive(responses).drop("record")
 
 
-#: The unsigned CRC-32 of an ASCII text, bit by bit.
-CRC = """xor(list_reduce(list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT),
-   lambda c, b: list_reduce(range(8)::BIGINT[], lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(c, b)), 4294967295), 4294967295)"""
-
-#: Levels, siblings and versions as recursive queries over all leaves.
-SQL["op13_merkle_manifest"] = """WITH RECURSIVE
-raw AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, text,
-   list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR], lambda v: coalesce(strlen(v)::VARCHAR || ':' || v, '-')) AS fields FROM documents),
-leaves AS (SELECT doc_id, tree, sha256(array_to_string(fields, '') || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
-   CASE WHEN """ + CRC.format(text="doc_id::VARCHAR") + """ % 3 = 0 THEN sha256(array_to_string(fields, '') || coalesce(strlen(low)::VARCHAR || ':' || low, '-')) END AS other FROM raw),
-placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
-nodes(tree, level, pos, node, n) AS (SELECT tree, 0, pos, leaf, n FROM placed
-   UNION ALL SELECT tree, level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 8, n),
-subs AS (SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
-tops(level, pos, node, n) AS (SELECT 0, pos, subroot, n FROM subs
-   UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY level, pos // 8, n),
-steps AS (SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
-   FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL),
-above AS (SELECT a.level, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
-   FROM tops a JOIN tops b ON a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL),
-path AS (SELECT p.tree, p.pos, s.level, s.l, s.r FROM placed p JOIN steps s ON s.tree = p.tree AND s.pos = p.pos // (8 ** s.level)::BIGINT
-   UNION ALL SELECT p.tree, p.pos, 1000 + s.level, s.l, s.r FROM placed p JOIN subs USING (tree) JOIN above s ON s.pos = subs.pos // (8 ** s.level)::BIGINT),
-ways AS (SELECT tree, pos, list(l || '|' || r ORDER BY level) AS way, sha256(string_agg(l || r, '' ORDER BY level)) AS proof FROM path GROUP BY 1, 2),
-ends AS (SELECT p.*, subs.subroot, (SELECT node FROM tops WHERE n = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256,
-   list_reduce(coalesce(way, []::VARCHAR[]), lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2)), coalesce(other, leaf)) AS folded_root
-   FROM placed p JOIN subs USING (tree) LEFT JOIN ways ON ways.tree = p.tree AND ways.pos = p.pos)
-SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM ends"""
-
-
 @query
 def op13_merkle_manifest(spark, sf_dir):
     return manifest(table(spark, sf_dir, "documents"))
@@ -138,3 +110,8 @@ def op13_merkle_manifest(spark, sf_dir):
 @query
 def op11_conversation_repair(spark, sf_dir):
     return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
