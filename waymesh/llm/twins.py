@@ -59,7 +59,7 @@ best(conv, i, o, s, u, a) AS (
    SELECT conv, 0::BIGINT, {{'c': 0, 'a': ''}}, NULL::STRUCT(c INTEGER, a VARCHAR), {{'c': 5, 'a': 'I'}}, {{'c': 10, 'a': 'II'}} FROM counts
    UNION ALL SELECT conv, i, o, s, {_least("u", _way("o", 5, "I"), "CASE WHEN s IS NOT NULL THEN " + _way("s", 5, "I") + " END", _way("a", 5, "I"))},
       {_least("a", _way("u", 5, "I"), _way("o", 10, "II"), "CASE WHEN s IS NOT NULL THEN " + _way("s", 10, "II") + " END")}
-   FROM (SELECT conv, b.i + 1 AS i, {way("o", 2, "D")} AS o,
+   FROM (SELECT conv, b.i + 1 AS i, {_way("o", 2, "D")} AS o,
       {_least("CASE WHEN s IS NOT NULL THEN " + _way("s", 2, "D") + " END", *_moves("o", "s"))} AS s,
       {_least(way("u", 2, "D"), *_moves("o", "u"), *["CASE WHEN s IS NOT NULL THEN " + m + " END" for m in _moves("s", "u")], *_moves("a", "u"))} AS u,
       {_least(way("a", 2, "D"), *_moves("u", "a"))} AS a
