@@ -35,15 +35,26 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
 
 #: Per state after each row the least (cost, audit), row by row; then the audit is walked again for the lines.
 _BLANKS = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-def _least(*ways):
+
+
+def _least(*ways: str) -> str:
     return "list_min([" + ", ".join(ways) + "])"
-def _way(frm, cost, edit, cond=None):
+
+
+def _way(frm: str, cost, edit: str, cond: str | None = None) -> str:
     w = f"{{'c': {frm}.c + {cost}, 'a': {frm}.a || '{edit}'}}"
     return f"CASE WHEN {cond} THEN {w} END" if cond else w
+
+
 _OK = "fault NOT IN ('b', 'd')"
 _SHORT = "(CASE WHEN fault = 't' THEN 5 ELSE 0 END)"
-def _moves(frm, initial):
-    return [_way(frm, _SHORT, 'K', f"{_OK} AND initial = '{initial}'"), _way(frm, f"1 + {_SHORT}", 'R', _OK)] if initial != 's' else [_way(frm, _SHORT, 'K', f"{_OK} AND initial = 's'")]
+
+
+def _moves(frm: str, initial: str) -> list[str]:
+    kept = _way(frm, _SHORT, "K", f"{_OK} AND initial = '{initial}'")
+    return [kept] if initial == "s" else [kept, _way(frm, f"1 + {_SHORT}", "R", _OK)]
+
+
 SQL["op11_conversation_repair"] = rf"""WITH RECURSIVE
 plain AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS label FROM conversations),
 drawn AS (SELECT *, {CRC.format(text='label')} % 20 AS kind FROM plain),
@@ -61,8 +72,8 @@ best(conv, i, o, s, u, a) AS (
       {_least("a", _way("u", 5, "I"), _way("o", 10, "II"), "CASE WHEN s IS NOT NULL THEN " + _way("s", 10, "II") + " END")}
    FROM (SELECT conv, b.i + 1 AS i, {_way("o", 2, "D")} AS o,
       {_least("CASE WHEN s IS NOT NULL THEN " + _way("s", 2, "D") + " END", *_moves("o", "s"))} AS s,
-      {_least(way("u", 2, "D"), *_moves("o", "u"), *["CASE WHEN s IS NOT NULL THEN " + m + " END" for m in _moves("s", "u")], *_moves("a", "u"))} AS u,
-      {_least(way("a", 2, "D"), *_moves("u", "a"))} AS a
+      {_least(_way("u", 2, "D"), *_moves("o", "u"), *["CASE WHEN s IS NOT NULL THEN " + m + " END" for m in _moves("s", "u")], *_moves("a", "u"))} AS u,
+      {_least(_way("a", 2, "D"), *_moves("u", "a"))} AS a
       FROM best b JOIN rows r USING (conv) WHERE r.i = b.i + 1)),
 chosen AS (SELECT conv, n, least(o, a) AS best FROM best JOIN counts USING (conv) WHERE i = n),
 walk(conv, step, i, state, lines) AS (SELECT conv, 0, 0::BIGINT, '0', []::VARCHAR[] FROM chosen
