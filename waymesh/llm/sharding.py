@@ -10,18 +10,23 @@ bounded whatever the number of groups, and the capacity is exact.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymesh.llm.common import id_and_text
+from waymesh.llm.common import id_and_text, map_rows
 from waymesh.session import cut, retire
 
 LAW = "bytes"
 BLOCKS = 4096
+#: Parts an unsettled block is split into, at least.
+LEAST_PIECES = 16
 KEY_END = 1 << 62
 
 
@@ -76,34 +81,79 @@ class Order:
         return low
 
 
-def split_blocks(groups: DataFrame, windows: list[tuple[int, int]]) -> list[Block]:
-    """The groups within disjoint ``windows`` of keys, each cut to at least two even key ranges."""
-    each = max(2, BLOCKS // len(windows))
+    def even(self, capacity: int, shards: int) -> list[int]:
+        """Ends of the shards but the last, none above ``capacity``, each as near to an even share as that lets it be.
+
+        ``capacity`` is feasible: walking back from the end tells how early each cut may be.
+        """
+        earliest, at = [], self.total
+        for _ in range(shards - 1):
+            at = self.ends[bisect_left(self.ends, at - capacity)]
+            earliest.append(at)
+        found, at = [], 0
+        for j, low in zip(range(1, shards), reversed(earliest), strict=True):
+            target = self.total * j // shards
+            lo, hi = bisect_left(self.ends, max(low, at)), bisect_right(self.ends, at + capacity) - 1
+            i = min(max(bisect_left(self.ends, target), lo), hi)
+            if i > lo and target - self.ends[i - 1] < self.ends[i] - target:
+                i -= 1
+            at = self.ends[i]
+            found.append(at)
+        return found
 
-    def number(lo: int, hi: int) -> Column:
-        """Binary search among the windows, as nested conditions."""
-        if hi - lo > 1:
-            middle = (lo + hi) // 2
-            return F.when(F.col("key") < F.lit(windows[middle][0]), number(lo, middle)).otherwise(number(middle, hi))
-        first, last = windows[lo]
-        width = -(-(last - first + 1) // each)
-        return F.when(F.col("key").between(first, last), F.expr(f"{lo * each} + (key - {first}L) div {width}L"))
 
-    sums = (
-        groups.withColumn("block", number(0, len(windows)))
-        .where("block is not null")
-        .groupBy("block")
-        .agg(F.min("key").alias("first"), F.max("key").alias("last"), F.sum("size").alias("size"))
-    )
+def window_sums(groups: DataFrame, firsts: list[int], lasts: list[int]) -> list[Block]:
+    """The groups within disjoint ranges of keys, in order, as a block for each range that holds any."""
+    shared = groups.sparkSession.sparkContext.broadcast((np.array(firsts, dtype=np.int64), np.array(lasts, dtype=np.int64)))
+
+    def make():
+        lows, highs = shared.value
+
+        def work(batch: pd.DataFrame) -> pd.DataFrame:
+            keys, sizes = batch["key"].to_numpy(dtype=np.int64), batch["size"].to_numpy(dtype=np.int64)
+            at = np.searchsorted(lows, keys, side="right") - 1
+            within = (at >= 0) & (keys <= highs[at])
+            return pd.DataFrame({"block": at, "key": keys, "size": sizes})[within]
+
+        return work
+
+    dealt = map_rows(groups.select("key", "size"), make, "block int, key long, size long")
+    sums = dealt.groupBy("block").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.sum("size").alias("size"))
     return sorted((Block(r["first"], r["last"], r["size"]) for r in sums.collect()), key=lambda b: b.first)
 
 
-def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
+def pieces(windows: list[tuple[int, int]], each: int) -> tuple[list[int], list[int]]:
+    """First and last keys of ``each`` even parts of every window."""
+    firsts, lasts = [], []
+    for first, last in windows:
+        width = -(-(last - first + 1) // each)
+        starts = range(first, last + 1, width)
+        firsts += starts
+        lasts += [min(start + width - 1, last) for start in starts]
+    return firsts, lasts
+
+
+def first_blocks(groups: DataFrame, total: int) -> list[Block]:
+    """Blocks of about even sizes. Groups of an even block's size or more, at most ``BLOCKS``, are blocks of their own:
+    what is left has no block that a cut could move by much, however skewed the groups are."""
+    heavy = sorted((r["key"], r["size"]) for r in groups.where(F.col("size") * F.lit(BLOCKS) >= F.lit(total)).collect())
+    firsts, lasts = pieces([(0, KEY_END - 1)], BLOCKS)
+    for key, _ in heavy:  # no block reaches across a heavy group
+        i = bisect_right(firsts, key) - 1
+        firsts[i : i + 1], lasts[i : i + 1] = [firsts[i], key + 1], [key - 1, lasts[i]]
+    taken = [(a, b) for a, b in zip(firsts, lasts, strict=True) if a <= b]
+    light = window_sums(groups, [a for a, _ in taken], [b for _, b in taken])
+    return sorted(light + [Block(key, key, size) for key, size in heavy], key=lambda b: b.first)
+
+
+def minimax_cuts(groups: DataFrame, shards: int, watch: Callable[[int], None] = lambda windows: None) -> tuple[int, list[int]]:
     """Least capacity and the first key of every shard but the first, for ``groups(key, size)``.
 
-    Keys are distinct and in ``[0, 2^62)``. Fewer cuts come back when later shards stay empty.
+    Keys are distinct and in ``[0, 2^62)``. Fewer cuts come back when shards stay empty.
+    ``watch`` is told how many windows each further pass splits.
     """
-    order = Order(split_blocks(groups, [(0, KEY_END - 1)]))
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    order = Order(first_blocks(groups, total))
     while True:
         sure, open_ = order.least(order.surely, shards), order.least(order.at_most, shards)
         near = order.surely(open_, shards)
@@ -114,15 +164,22 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
             unknown |= {i for i in range(lo, min(hi + 1, len(order.blocks))) if not order.blocks[i].atomic}
         if not unknown:
             break
-        finer = split_blocks(groups, [(order.blocks[i].first, order.blocks[i].last) for i in sorted(unknown)])
+        watch(len(unknown))
+        windows = [(order.blocks[i].first, order.blocks[i].last) for i in sorted(unknown)]
+        finer = window_sums(groups, *pieces(windows, max(LEAST_PIECES, BLOCKS // len(windows))))
         kept = [b for i, b in enumerate(order.blocks) if i not in unknown]
         order = Order(sorted(kept + finer, key=lambda b: b.first))
-    starts = [order.ends.index(end) for end in order.surely(sure, shards)[:-1] if end < order.total]
+    starts = sorted({order.ends.index(end) for end in order.even(sure, shards) if 0 < end < order.total})
     return sure, [order.blocks[i].first for i in starts]
 
 
 def own_shards(groups: DataFrame, total: int, shards: int) -> list[tuple[int, int]]:
-    """Groups no smaller than an even share of what is left, largest first: each fills a shard alone."""
+    """Groups no smaller than an even share of what is left, largest first: each fills a shard alone.
+
+    The least capacity is at least the largest group. Where that is above an even share the
+    capacity says nothing about the other shards: a walk under it would fill few and leave many
+    empty. Below an even share it bounds every shard, so no such rule is needed there.
+    """
     alone: list[tuple[int, int]] = []
     for row in groups.orderBy(F.desc("size"), "key").limit(shards - 1).collect():
         if row["size"] * (shards - len(alone)) < total:
