@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -120,3 +121,19 @@ def test_whole_table(spark):
         article = re.search(r"<article>(.*?)(</article>|<footer>)", row.html, re.S)[1]
         words = hx.html.unescape(re.sub(r"<[^>]*>", " ", article)).split()
         assert got[row.page_id].split() == words
+
+
+def test_any_depth_in_linear_time():
+    """Recursion and searches of the open elements would end such pages, or never end."""
+    for inner in ("<div>", "<span class=x>", "<ul><li>"):
+        source = "<html><body><article><p>Start" + inner * 50_000 + "deep" + "<p>er"
+        start = time.perf_counter()
+        assert hx.main_text(source) == ("Start deep er" if inner != "<span class=x>" else "Startdeep er")
+        assert hx.features_of(source)
+        assert time.perf_counter() - start < 6
+    assert hx.main_text("<p><button>" + "<span>" * 20_000 + "<div>x" * 20_000) == ""
+
+
+def test_equal_contents_have_equal_hashes():
+    one, two, other = (dict((f[0], f[3]) for f in hx.features_of(f"<div><p>a <b>b</b></p>{more}</div>")) for more in ("", "<p> </p>", "<p>c</p>"))
+    assert one["html/div"] == two["html/div"] != other["html/div"] and one["html/div/p"] == one["html/div"]

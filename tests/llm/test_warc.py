@@ -71,3 +71,21 @@ def test_whole_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = warc.derive(warc.responses_of_pages(pages)).collect()
     assert len(got) == 2 * pages.count() and all("source-digest-check: ok" in r.block for r in got if r.record_type == "metadata")
+
+
+def test_malformed_lengths_links_bases_and_codings(spark):
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:b>\r\nContent-Length: abc\r\n\r\nHTTP/1.1 200 OK\r\n\r\n<p>one\r\n\r\n"
+    good = response("HTTP/1.1 200 OK", b"<p>two").to_bytes()
+    read = list(warc.read_records(io.BytesIO(bad + good)))
+    assert [r.sound for r in read] == [False, True] and read[1].block.endswith(b"<p>two")
+    frame = spark.createDataFrame([(1, bad), (2, b"WARC/1.1\r\nContent-Length: -5\r\n\r\nx")], "page_id long, record binary")
+    rows = by_type(warc.derive(frame).collect())
+    assert rows[1, "conversion"].block == "one" and "source-header-check: no content length" in rows[1, "metadata"].block
+    page = '<base href="/d/"><!-- <a href="c">--><a href="?a=1&amp;b=2">x</a><a data-href="n">y</a><script>"<a href=\'s\'>"</script><a href="?a=1&b=2">'
+    assert warc.title_and_links(page, "http://h.example/a/b") == ("", ["http://h.example/d/?a=1&b=2"])
+    meta, text = warc.derivatives(response("HTTP/1.1 200 OK\r\nContent-Encoding: br", b"\x0b\x02\x80<p>no"))
+    assert text.block == b"" and b"source-coding-check: not decoded" in meta.block
+    assert meta.get("WARC-Payload-Digest") == warc.digest(meta.block)
+    deep = pages_of(spark, [(1, "u", "<div>" * 30_000 + "x"), (1, "u", "other")])
+    got = warc.derive(warc.responses_of_pages(deep)).collect()
+    assert sorted(r.block for r in got if r.record_type == "conversion") == ["other", "x"] and len({r.refers_to for r in got}) == 2

@@ -18,6 +18,7 @@ import html
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache
 
 import pandas as pd
 import xxhash
@@ -55,6 +56,7 @@ ENDED_BY = {
     "option": frozenset(["option", "optgroup"]),
     "head": frozenset(["body"]),
 }
+ENDS = {tag: [o for o, enders in ENDED_BY.items() if tag in enders] for tag in frozenset().union(*ENDED_BY.values())}
 #: Where the search for an open element to end stops.
 FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 MARKING_WORDS = frozenset(
@@ -86,10 +88,11 @@ LAYOUT, FOREIGN, ALL = 1, 2, 3
 #: What text is set in; inside an article it is judged by the tree, not by its name.
 SET_TEXT = HEADINGS | frozenset("p pre blockquote figcaption".split())
 
-#: A path is judged if it occurs so often, on so many pages.
-LEAST_OCCURRENCES = 8
-#: Sites with several pages each that a path needs for its importance over all sites.
-LEAST_SITES = 3
+#: Levels that paths tell apart; an element below them is known by the path of the last.
+PATH_DEPTH = 64
+#: So many pages of a site weigh as much as what a path is like on other sites, and so many sites as much as no knowledge.
+PAGES_OF_PRIOR = 8
+SITES_OF_PRIOR = 3
 #: Share of content in importance; presentation has the rest.
 CONTENT_SHARE = 0.9
 #: A branch goes if its importance is below this share of the site's most important element.
@@ -98,10 +101,12 @@ LEAST_OUTSIDE, LEAST_INSIDE = 0.7, 0.3
 
 @dataclass
 class Node:
-    """An element: path from the root, text and children in order."""
+    """An element: path from the root and its last step, depth, text and children in order."""
 
     tag: str
+    name: str
     path: str
+    depth: int
     mark: int
     inside: bool
     parts: list = field(default_factory=list)
@@ -163,42 +168,60 @@ def has_text(node: Node) -> bool:
     return False
 
 
+class Opened:
+    """The open elements, with where each kind stands, so none is searched for."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.at: dict[str, list[int]] = {}
+
+    @property
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def open(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tag: str) -> int:
+        """Where the innermost ``tag`` stands, 0 if none is open."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def close(self, depth: int) -> None:
+        """Ends what stands at ``depth`` and all within it; the root stays."""
+        while depth and len(self.stack) > depth:
+            self.at[self.stack.pop().tag].pop()
+
+
 def tree_of(source: str, lifted: bool = False) -> Node:
-    """The tree of a page by its marks; tags left open or closed twice do no harm."""
-    root = Node("html", "html", 0, False)
-    stack = [root]
+    """The tree of a page by its marks; tags left open or closed twice do no harm, nor does any depth."""
+    opened = Opened(Node("html", "html", "html", 0, 0, False))
     at = 0
 
     def text(raw: str) -> None:
         if raw:
-            stack[-1].parts.append(html.unescape(raw))
+            opened.top.parts.append(html.unescape(raw))
 
     while True:
         match = TAG.search(source, at)
         if not match:
             text(source[at:])
-            return root
+            return opened.stack[0]
         text(source[at : match.start()])
         at = match.end()
         tag = (match[3] or "").lower()
         if not tag or tag == "html":
             continue
         if match[2]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+            opened.close(opened.last(tag))
             continue
-        for open_, enders in ENDED_BY.items():
-            if tag in enders:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag == open_:
-                        del stack[depth:]
-                        break
-                    if stack[depth].tag in FENCES.get(open_, ("button", "table", "td", "th", "object")):
-                        break
+        for open_ in ENDS.get(tag, ()):
+            place = opened.last(open_)
+            if place and place > max(map(opened.last, FENCES.get(open_, ("button", "table", "td", "th", "object")))):
+                opened.close(place)
         given = attributes_of(match[4])
-        parent = stack[-1]
+        parent = opened.top
         first = PART.search(given.get("class", "") or given.get("id", ""))
         name = f"{tag}.{first[0].lower()}" if first and tag not in INLINE else tag
         inside = parent.inside or tag in MAIN
@@ -206,36 +229,45 @@ def tree_of(source: str, lifted: bool = False) -> Node:
         mark = 0 if keeps_heading else max(parent.mark, mark_of(tag, given, parent.inside, lifted))
         if tag in MAIN and mark <= (FOREIGN if lifted else LAYOUT):
             mark = 0
-        node = Node(tag, f"{parent.path}/{name}", mark, inside)
+        path = f"{parent.path}/{name}" if parent.depth < PATH_DEPTH else parent.path
+        node = Node(tag, name, path, parent.depth + 1, mark, inside)
         parent.parts.append(node)
         if tag in VOID or match[4].endswith("/") and tag not in RAW:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+            close = raw_end(tag).search(source, at)
             at = close.end() if close else len(source)
             continue
-        stack.append(node)
+        opened.open(node)
+
+
+@cache
+def raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>", re.I)
 
 
 def blocks_of(node: Node, cut_paths: frozenset[str] = frozenset(), marked_too: bool = False) -> list[str]:
     """Texts of the blocks below ``node`` in page order, without cut paths and marked branches."""
     blocks: list[list[str]] = [[]]
-
-    def walk(n: Node) -> None:
-        for part in n.parts:
+    waiting = [(node, iter(node.parts), False)]
+    while waiting:
+        n, parts, block = waiting[-1]
+        for part in parts:
             if isinstance(part, str):
                 if marked_too or not n.marked:
                     blocks[-1].append(part)
             elif part.path in cut_paths:
                 blocks.append([])
-            elif part.tag in INLINE and part.tag != "wbr":
-                walk(part)
             elif part.tag != "wbr":
+                inline = part.tag in INLINE
+                if not inline:
+                    blocks.append([])
+                waiting.append((part, iter(part.parts), not inline))
+                break
+        else:
+            waiting.pop()
+            if block:
                 blocks.append([])
-                walk(part)
-                blocks.append([])
-
-    walk(node)
     return [t for t in (" ".join("".join(b).split()) for b in blocks) if t]
 
 
@@ -246,39 +278,52 @@ def main_text(source: str | None, cut_paths: frozenset[str] = frozenset()) -> st
     root = parse(source)
     for tag in MAIN:
         found: list[Node] = []
-
-        def collect(n: Node, tag=tag, found=found) -> None:
-            for child in n.elements():
-                if child.path in cut_paths:
-                    continue
-                if child.tag == tag and not child.marked:
-                    found.append(child)
-                else:
-                    collect(child)
-
-        collect(root)
+        waiting = [root]
+        while waiting:
+            n = waiting.pop()
+            if n is not root and n.tag == tag and not n.marked:
+                found.append(n)
+            else:
+                waiting += [c for c in reversed(n.elements()) if c.path not in cut_paths]
         blocks = [b for n in found for b in blocks_of(n, cut_paths)]
         if blocks:
             return " ".join(blocks)
     return " ".join(blocks_of(root, cut_paths))
 
 
+#: Contents are hashed as sequences of texts: what an element holds is put together from its children's hashes.
+MODULUS = (1 << 61) - 1
+BASE = 0x1B3F5D79A2C4E687 % MODULUS
+
+
 def features_of(source: str | None) -> list[tuple[str, bool, int, int]]:
     """``(path, inside main, presentation, content)`` of every element that may be content."""
     found: list[tuple[str, bool, int, int]] = []
-
-    def walk(n: Node) -> str:
-        texts = []
-        for part in n.parts:
-            texts.append(part if isinstance(part, str) else walk(part))
-        own = " ".join(" ".join(texts).split()) if not n.marked else ""
-        if own and n.tag not in INLINE:
-            style = "".join(f"<{e.path[len(n.path):]}" for e in n.elements() if e.tag not in INLINE)
-            found.append((n.path, n.inside, xxhash.xxh64_intdigest(style) >> 1, xxhash.xxh64_intdigest(own) >> 1))
-        return own
-
-    if source:
-        walk(parse(source))
+    if not source:
+        return found
+    root = parse(source)
+    waiting = [[root, iter(root.parts), 0, 0]]  # node, parts to come, hash and number of the texts so far
+    while waiting:
+        n, parts, content, count = level = waiting[-1]
+        for part in parts:
+            if not isinstance(part, str):
+                waiting.append([part, iter(part.parts), 0, 0])
+                break
+            own = " ".join(part.split())
+            if own:
+                level[2] = content = (content * BASE + (xxhash.xxh64_intdigest(own) >> 3) + 1) % MODULUS
+                level[3] = count = count + 1
+        else:
+            waiting.pop()
+            if n.marked or not count:
+                continue
+            if n.tag not in INLINE:
+                style = "".join(f"</{e.name}" for e in n.elements() if e.tag not in INLINE)
+                found.append((n.path, n.inside, xxhash.xxh64_intdigest(style) >> 1, content))
+            if waiting:
+                above = waiting[-1]
+                above[2] = (above[2] * pow(BASE, count, MODULUS) + content) % MODULUS
+                above[3] += count
     return found
 
 
@@ -335,19 +380,15 @@ def site_tree(pages: DataFrame) -> DataFrame:
 
 def low_branches(tree: DataFrame) -> DataFrame:
     """``host, paths``: what to cut from a site's pages, never a branch that holds one to keep."""
-    enough = (F.col("occurrences") >= LEAST_OCCURRENCES) & (F.col("pages") >= LEAST_OCCURRENCES)
     several = tree.where("pages > 1").withColumn("weight", F.col("occurrences") * F.log("occurrences"))
     over_all = several.groupBy("path").agg(
-        (F.sum(F.col("importance") * F.col("weight")) / F.sum("weight")).alias("usual"), F.count("*").alias("sites"), F.sum("pages").alias("seen")
-    )
-    over_all = over_all.where((F.col("sites") >= LEAST_SITES) & (F.col("seen") >= LEAST_OCCURRENCES)).select("path", "usual")
-    # The fewer pages a site has, the more it counts what its paths are like elsewhere.
-    backed = (F.col("pages") * F.col("importance") + LEAST_OCCURRENCES * F.col("usual")) / (F.col("pages") + LEAST_OCCURRENCES)
-    judged = (
-        tree.join(over_all, "path", "left")
-        .where(enough | F.col("usual").isNotNull())
-        .withColumn("importance", F.when(enough, F.col("importance")).otherwise(backed))
+        (F.sum(F.col("importance") * F.col("weight")) / F.sum("weight")).alias("usual"), F.count("*").alias("sites")
     )
+    # What is known from few sites or few pages counts little, and what is not known is important.
+    usual = (F.col("sites") * F.col("usual") + SITES_OF_PRIOR) / (F.col("sites") + SITES_OF_PRIOR)
+    backed = (F.col("pages") * F.col("importance") + PAGES_OF_PRIOR * F.col("usual")) / (F.col("pages") + PAGES_OF_PRIOR)
+    judged = tree.join(over_all.select("path", usual.alias("usual")), "path", "left").withColumn("usual", F.coalesce("usual", F.lit(1.0)))
+    judged = judged.withColumn("importance", backed)
     best = judged.groupBy("host").agg(F.max("importance").alias("best"))
     least = F.when(F.col("inside"), LEAST_INSIDE).otherwise(LEAST_OUTSIDE)
     low = judged.join(best, "host").where(F.col("importance") < least * F.col("best")).select("host", "path")
@@ -361,7 +402,8 @@ def low_branches(tree: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: ``page_id, url, text, n_chars``.
 
-    A null page counts as empty; a page without main text has an empty one. Pages whose url is
+    A null page counts as empty; a page without main text has an empty one. Elements may be nested
+    to any depth; below ``PATH_DEPTH`` levels they share the path of the last level. Pages whose url is
     null or names no host form a site of their own. Repeated rows keep their rows and count as one
     page; an empty table gives none; further columns are ignored.
     """

@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import html
 import io
 import re
 import uuid
@@ -22,23 +23,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from waymesh.llm.common import map_frames, map_rows
-from waymesh.llm.html_extract import blocks_of, parse
+from waymesh.llm.html_extract import RAW, TAG, blocks_of, parse, raw_end
 
 VERSION = "WARC/1.1"
 #: The date of responses made from tables that have none.
 NO_DATE = "1970-01-01T00:00:00Z"
 
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+HREF = re.compile(r"(?:^|\s)href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9._:-]+)", re.I)
 
 
 @dataclass
 class Record:
-    """Header fields in order, and the block."""
+    """Header fields in order, and the block; not ``sound`` if the header gave it no length."""
 
     headers: list[tuple[str, str]] = field(default_factory=list)
     block: bytes = b""
+    sound: bool = True
 
     def get(self, name: str) -> str | None:
         return next((v for k, v in self.headers if k.lower() == name.lower()), None)
@@ -62,16 +63,29 @@ def header_lines(raw: bytes) -> tuple[str, list[tuple[str, str]]]:
 
 
 def read_records(stream: io.BufferedIOBase) -> Iterator[Record]:
-    """Records of an uncompressed stream, one at a time."""
-    while line := stream.readline():
+    """Records of an uncompressed stream, one at a time.
+
+    Where the length is no number, the block is what stands before the next record begins.
+    """
+    line = stream.readline()
+    while line:
         if not line.strip():
+            line = stream.readline()
             continue
         raw = line
         while (line := stream.readline()).strip():
             raw += line
-        _, headers = header_lines(raw)
-        record = Record(headers)
-        record.block = stream.read(int(record.get("Content-Length") or 0))
+        record = Record(header_lines(raw)[1])
+        size = record.get("Content-Length") or "0"
+        if size.isascii() and size.isdigit():
+            record.block = stream.read(int(size))
+            line = stream.readline()
+        else:
+            record.sound = False
+            held = []
+            while (line := stream.readline()) and not line.startswith(b"WARC/"):
+                held.append(line)
+            record.block = b"".join(held)
         yield record
 
 
@@ -93,6 +107,7 @@ class Response:
     headers: list[tuple[str, str]]
     payload: bytes
     body: bytes
+    decoded: bool = True
 
     def get(self, name: str) -> str:
         return next((v for k, v in self.headers if k.lower() == name), "")
@@ -120,14 +135,17 @@ def unchunked(raw: bytes) -> bytes:
     return b"".join(out)
 
 
-def inflated(raw: bytes, coding: str) -> bytes:
-    """``raw`` without its content coding; what can't be undone stays as it is."""
-    for bits in (31,) if coding in ("gzip", "x-gzip") else (15, -15) if coding == "deflate" else ():
+def inflated(raw: bytes, coding: str) -> tuple[bytes, bool]:
+    """``raw`` without its content coding, and whether the coding is one this knows; damaged bodies stay as they are."""
+    kinds = {"": (), "identity": (), "gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}
+    if coding not in kinds:
+        return b"", False
+    for bits in kinds[coding]:
         try:
-            return zlib.decompress(raw, bits)
+            return zlib.decompress(raw, bits), True
         except zlib.error:
             continue
-    return raw
+    return raw, True
 
 
 def http_response(block: bytes) -> Response:
@@ -136,12 +154,39 @@ def http_response(block: bytes) -> Response:
         head, gap, payload = block.partition(b"\n\n")
     status, headers = header_lines(head)
     out = Response(status, headers, payload, payload)
-    if out.get("transfer-encoding").lower() == "chunked":
+    if out.get("transfer-encoding").strip().lower() == "chunked":
         out.payload = out.body = unchunked(payload)
-    out.body = inflated(out.payload, out.get("content-encoding").lower())
+    out.body, out.decoded = inflated(out.payload, out.get("content-encoding").strip().lower())
     return out
 
 
+def title_and_links(page: str, target: str) -> tuple[str, list[str]]:
+    """The title and the addresses of the links, in order and once each, from the page's own address or its base.
+
+    What stands in comments, scripts and the like is no link.
+    """
+    title, base, links, at = None, None, {}, 0
+    while match := TAG.search(page, at):
+        at = match.end()
+        tag = (match[3] or "").lower()
+        if not tag or match[2]:
+            continue
+        if tag in RAW:
+            close = raw_end(tag).search(page, at)
+            if tag == "title" and title is None:
+                title = one_line(html.unescape(page[at : close.start() if close else len(page)]))
+            at = close.end() if close else len(page)
+        elif tag in ("a", "base"):
+            href = HREF.search(match[4])
+            link = one_line(html.unescape(href[1] or href[2] or href[3] or "")) if href else ""
+            if link and tag == "a":
+                links.setdefault(link)
+            elif link and base is None:
+                base = link
+    start = resolved(target, base) if base else target
+    return title or "", list(dict.fromkeys(resolved(start, link) for link in links))
+
+
 def plain_text(page: str) -> str:
     """All visible text, a line for each block."""
     return "\n".join(blocks_of(parse(page), marked_too=True))
@@ -154,8 +199,9 @@ def one_line(text: str) -> str:
 def derivatives(record: Record) -> list[Record]:
     """The metadata and the conversion record of a response record."""
     response = http_response(record.block)
-    page = response.text() if "html" in (response.get("content-type") or "html").lower() else None
-    text = plain_text(page) if page is not None else (response.text() if response.get("content-type").lower().startswith("text/") else "")
+    kind = (response.get("content-type") or "html").lower()
+    page = response.text() if "html" in kind and response.decoded else None
+    text = plain_text(page) if page is not None else response.text() if kind.startswith("text/") and response.decoded else ""
     source = record.get("WARC-Record-ID") or ""
     target = record.get("WARC-Target-URI") or ""
     block_digest, payload_digest = digest(record.block), digest(response.payload)
@@ -167,11 +213,13 @@ def derivatives(record: Record) -> list[Record]:
         ("source-payload-digest", payload_digest),
         ("source-digest-check", "absent" if stated is None else "ok" if stated == payload_digest else "mismatch"),
     ]
+    if not record.sound:
+        facts.append(("source-header-check", "no content length"))
+    if not response.decoded:
+        facts.append(("source-coding-check", "not decoded"))
     if page is not None:
-        found = TITLE.search(page)
-        facts.append(("title", one_line(blocks_joined(found[1])) if found else ""))
-        seen = dict.fromkeys(one_line(m[1] or m[2] or m[3] or "") for m in LINK.finditer(page))
-        facts += [("outlink", resolved(target, link)) for link in seen if link]
+        title, links = title_and_links(page, target)
+        facts += [("title", title), *[("outlink", link) for link in links]]
     meta = "".join(f"{k}: {one_line(v)}\r\n" for k, v in facts).encode()
     out = []
     for kind, content_type, block in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text.encode())):
@@ -182,17 +230,13 @@ def derivatives(record: Record) -> list[Record]:
             ("WARC-Target-URI", target),
             ("WARC-Refers-To", source),
             ("WARC-Block-Digest", digest(block)),
-            ("WARC-Payload-Digest", payload_digest),
+            ("WARC-Payload-Digest", digest(block)),
             ("Content-Type", content_type),
         ]
         out.append(Record([(k, v) for k, v in headers if v], block))
     return out
 
 
-def blocks_joined(fragment: str) -> str:
-    return " ".join(blocks_of(parse(fragment), marked_too=True))
-
-
 def resolved(base: str, link: str) -> str:
     try:
         return urljoin(base, link)
@@ -222,7 +266,7 @@ def responses_of_pages(pages: DataFrame, date: str = NO_DATE, id_col: str = "pag
     def make():
         def work(batch: pd.DataFrame) -> pd.DataFrame:
             records = [
-                response_record(f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}').urn}>", url, date, page).to_bytes()
+                response_record(f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest((page or "").encode())}').urn}>", url, date, page).to_bytes()
                 for page_id, url, page in zip(batch["page_id"], batch["url"], batch["html"], strict=True)
             ]
             return pd.DataFrame({"page_id": batch["page_id"], "record": records})
@@ -257,8 +301,10 @@ def derive(responses: DataFrame, id_col: str = "page_id", record_col: str = "rec
 
     ``page_id, record_type, record_id, refers_to, target_uri, date, content_type, content_length,
     block_digest, payload_digest, block, record``: ``payload_digest`` is the source's, ``block`` the
-    text of the derivative, ``record`` its bytes as they stand in a WARC file. A null or empty
-    record counts as a response without header and body. Repeated rows give repeated
+    text of the derivative, ``record`` its bytes as they stand in a WARC file, with digests of its own.
+    A null or empty record counts as a response without header and body; one whose header has no
+    length that is a number is told so in its metadata, as is a body in a coding that isn't known, which
+    gives no text. Pages may be nested to any depth. Repeated rows give repeated
     derivatives; an empty table gives none; further columns are ignored.
     """
 
@@ -267,10 +313,11 @@ def derive(responses: DataFrame, id_col: str = "page_id", record_col: str = "rec
             rows = []
             for page_id, raw in zip(batch["page_id"], batch["record"], strict=True):
                 source = next(read_records(io.BytesIO(bytes(raw or b""))), Record())
+                payload = digest(http_response(source.block).payload)
                 for made in derivatives(source):
                     names = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "Content-Type")
                     fields = [made.get(n) for n in names]
-                    digests = [made.get("WARC-Block-Digest"), made.get("WARC-Payload-Digest")]
+                    digests = [made.get("WARC-Block-Digest"), payload]
                     rows.append((page_id, *fields, len(made.block), *digests, made.block.decode(), made.to_bytes()))
             return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
