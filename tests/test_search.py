@@ -7,6 +7,7 @@ from nets import PARALLEL, SPEC, Net
 from pyspark.sql import functions as F
 
 from waymesh.operators import search as se
+from waymesh.session import cut
 
 
 def brute(n, routes, src, dst, transfer, hop, step, toll):
@@ -93,3 +94,38 @@ def test_distances(spark):
     # K J E G: crossroad E; G N M C B or back: C, shared G is no crossroad
     assert se.point_distance(pts, n.net, rail).first().c_min == 2
     assert se.point_distance(pts, n.net, rail, crossroads_only=False).first().c_min == 7
+
+
+def test_frontiers_hold_improved_labels_alone_and_landmarks_change_no_answer(spark):
+    """A long line of short routes beside a dense part, and an island no way leads to."""
+    line = [f"L{i:02} M{i:02} L{i + 1:02}" for i in range(12)]
+    routes = [*random_routes(11), *line, "A L00", "X1 X2 X3"]
+    n = Net(spark, routes)
+    bare = cut(se.rails(n.net), "rail")
+    rail = cut(se.with_landmarks(bare, se.landmarks(bare, n.net.degree)), "rail")
+    ends = [("A", "D"), ("L02", "L07"), ("L06", "L06"), ("B", "X2"), ("X1", "X3"), ("L01", "C")]
+    base = spark.createDataFrame([(f"{x}{y}", n.ids[x], n.ids[y]) for x, y in ends], "q string, src long, dst long")
+    sizes = {}
+    for transfer, hop, step, slack in ((10**6, 1, 0, 0), (10**6, 1, 10**6, 10**6), (0, 0, 1, 0)):
+        s = se.plain_searches(base, F.col("q"), transfer=transfer, hop_weight=hop, step=step, slack=slack)
+        answers = []
+        for way in (bare, rail):
+            best, rows = {}, []
+
+            def watch(frontier, best=best, rows=rows):
+                for r in frontier.collect():
+                    key = (r.sid, r.place, r.through)
+                    assert key not in best or r.cost < best[key]  # written because it improved
+                    best[key] = r.cost
+                rows.append(frontier.count())
+
+            labels = se.search(s, way, watch=watch)
+            answers.append({r.sid: r.cost for r in se.found(labels, s).collect()})
+            started = {(f"{x}{y}", n.ids[x], None) for x, y in ends} - best.keys()
+            assert labels.count() == len(best) + sum(1 for sid, *_ in started if way is bare or sid != "BX2")
+            sizes[way is rail] = sum(rows)
+        assert answers[0] == answers[1]
+        for x, y in ends:
+            assert answers[0].get(f"{x}{y}") == brute(n, routes, n.ids[x] and x, y, transfer, hop, step, lambda p, q: 0)
+        if transfer:
+            assert sizes[True] < 0.7 * sizes[False]

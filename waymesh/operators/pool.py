@@ -29,7 +29,7 @@ from waymesh.operators import marks as mk
 from waymesh.operators import search as se
 
 from waymesh.operators.score import Network, ranking_score, score
-from waymesh.session import cut, together
+from waymesh.session import cut, retire, together
 
 T = TRANSFER_WEIGHT
 
@@ -49,9 +49,11 @@ class Prepared:
 
 
 def prepare(net: Network, section: int = se.SECTION) -> Prepared:
-    """The search view of a network. Only counts reach the driver."""
-    rail = cut(se.rails(net, section), "rail")
-    prio = mk.edge_priority(net.edges, mk.marked_edges(net.stops, net.marks))
+    """The search view of a network, with landmarks. Only counts reach the driver."""
+    prio = cut(mk.edge_priority(net.edges, mk.marked_edges(net.stops, net.marks)), "ratings")
+    bare = cut(se.rails(net, section, prio=prio), "rail")
+    rail = cut(se.with_landmarks(bare, se.landmarks(bare, net.degree)), "rail")
+    retire(bare)
     floors = (
         net.edges.select("route_id").distinct()
         .join(mk.route_priority(net.marks), "route_id", "left")

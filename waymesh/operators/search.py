@@ -9,6 +9,12 @@ stretch of one route, in either direction. Along a route the best place to board
 running minimum, so a round is linear in the stops of the routes it touches, and the
 number of rounds is the number of rides in the answer, not its number of hops.
 
+A round writes its *frontier* alone: the labels it improved, each once. What is settled is read
+from the frontiers so far and never written again. Landmarks (:func:`landmarks`) keep the frontier
+near the answer: rides are counted alike from either end, so places that differ in rides to a
+landmark are at least so many rides apart, and a way past a landmark is a first bound on the cost
+before any way is found. Ends that a landmark tells apart have no way at all.
+
 ``searches`` columns:
 
 =============  ==================================================================
@@ -28,6 +34,8 @@ number of rounds is the number of rides in the answer, not its number of hops.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,19 +43,25 @@ from waymesh.functions.chains import TRANSFER_WEIGHT, is_crossroad_expr
 from waymesh.operators import marks as mk
 from waymesh.operators.network import in_blocks
 from waymesh.operators.score import Network
-from waymesh.session import NotConverged, cut, retire
+from waymesh.session import NotConverged, cut, retire, written
 
 # Routes longer than this are ridden section by section; a rider stays on board where
 # two sections meet. It bounds the rows one task sorts, not what is found.
 SECTION = 2048
+#: Busiest places that every place's rides are counted from.
+LANDMARKS = 4
+MARKS = "array<struct<r:bigint,h:bigint>>"
+#: Weight of a ride against hops when landmarks are measured: no way has so many hops.
+RIDE_WEIGHT = 1 << 40
 PARAMS = ["src", "dst", "transfer", "hop_weight", "step", "tier", "banned", "ban", "slack"]
 
 
-def rails(net: Network, section: int = SECTION, bare: DataFrame | None = None) -> DataFrame:
+def rails(net: Network, section: int = SECTION, bare: DataFrame | None = None, prio: DataFrame | None = None) -> DataFrame:
     """The stops as the search reads them: ``(route_id, sec, pos, place, hop, a, b, prio,
     joint)`` where ``a, b, prio`` describe the edge from the stop before in the section.
 
-    H6: ``bare(a, b)`` are edges no route carries; each becomes a route of its own.
+    H6: ``bare(a, b)`` are edges no route carries; each becomes a route of its own. ``prio`` are the
+    edge ratings, if they are there already.
     """
     stops = net.stops.select("route_id", F.col("pos").cast("int").alias("pos"), "place")
     if bare is not None:
@@ -56,7 +70,8 @@ def rails(net: Network, section: int = SECTION, bare: DataFrame | None = None) -
         stops = stops.unionByName(
             own.select("route_id", F.posexplode(F.array("a", "b")).alias("pos", "place"))
         )
-    prio = mk.edge_priority(net.edges, mk.marked_edges(net.stops, net.marks))
+    if prio is None:
+        prio = mk.edge_priority(net.edges, mk.marked_edges(net.stops, net.marks))
     along = Window.partitionBy("route_id", "block").orderBy("pos")
     before = F.lag("place").over(along)
     cutup = (
@@ -85,10 +100,32 @@ def rails(net: Network, section: int = SECTION, bare: DataFrame | None = None) -
             "b",
             F.coalesce("prio", F.lit(0)).alias("prio"),
             "joint",
+            F.lit(None).cast(MARKS).alias("marks"),
         )
     )
 
 
+def landmarks(rail: DataFrame, degree: DataFrame, count: int = LANDMARKS) -> DataFrame:
+    """``(place, marks)``: for each of the ``count`` busiest places, the fewest rides ``r`` to it and
+    the fewest hops ``h`` of these; null where there is no way."""
+    line = Window.partitionBy(F.lit(0)).orderBy(F.desc("degree"), "place")
+    hubs = degree.where("degree > 0").orderBy(F.desc("degree"), "place").limit(count)
+    hubs = hubs.select(F.col("place").alias("src"), F.lit(None).cast("long").alias("dst"), F.row_number().over(line).alias("i"))
+    probes = cut(plain_searches(hubs, F.col("i").cast("string"), transfer=RIDE_WEIGHT, hop_weight=0, step=1), "hubs")
+    labels = search(probes, rail).where("through is null")
+    weight = F.lit(RIDE_WEIGHT)
+    mark = F.struct(F.floor(F.col("cost") / weight).cast("long").alias("r"), F.pmod("cost", weight).alias("h"))
+    gathered = labels.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct(F.col("sid").cast("int"), mark))).alias("m"))
+    return gathered.select("place", F.transform(F.sequence(F.lit(1), F.lit(count)), lambda i: F.try_element_at("m", i)).cast(MARKS).alias("marks"))
+
+
+def with_landmarks(rail: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rail`` with the marks of its places, which every search over it then uses."""
+    known = rail.drop("marks").join(marks, "place", "left")
+    nowhere = F.array_repeat(F.lit(None).cast("struct<r:bigint,h:bigint>"), LANDMARKS)
+    return known.withColumn("marks", F.coalesce("marks", nowhere)).select(rail.columns)
+
+
 def plain_searches(
     pairs: DataFrame,
     sid: Column,
@@ -120,23 +157,35 @@ def plain_searches(
 
 RIDE = "struct<route_id:bigint,p:int,q:int>"
 
+# At least so many rides lie between places with these marks, however many landmarks know both.
+_APART = "coalesce(array_max(zip_with({x}, {y}, (x, y) -> abs(x.r - y.r))), 0)"
+
+# What is left to pay at a place, at least: a rider on board (joint) pays one ride less, and answers
+# may end `slack` above the best.
+def _rest(joint: str, place: str, marks: str) -> str:
+    apart = _APART.format(x=marks, y="dmarks")
+    return f"greatest(if({joint} OR {place} <=> dst, 0, transfer), transfer * ({apart} - int({joint})) - slack)"
+
+
 # Where this round's riders board: labels the round before improved that can still
 # lead to a wanted answer, at every position of their place on any route.
-_BOARDS = """
+_BOARDS = f"""
 WITH bound AS (
-  SELECT s.sid, l.cost + s.slack AS bound
-  FROM {labels} l JOIN {searches} s ON l.sid = s.sid AND l.place = s.dst
-  WHERE l.through IS NULL)
-SELECT l.sid, r.route_id, r.sec, r.pos, r.hop * s.hop_weight AS own,
-       s.dst, s.transfer, s.hop_weight, s.step, s.tier, s.banned, s.ban, b.bound,
-       l.cost + if(l.through IS NULL, s.transfer, 0) AS board, l.rides
-FROM {labels} l
-JOIN {searches} s ON l.sid = s.sid
-LEFT JOIN bound b ON l.sid = b.sid
-JOIN {rail} r ON l.place = r.place
-WHERE l.fresh = 1
-  AND (l.through IS NULL OR l.through = r.route_id)
-  AND (b.bound IS NULL OR l.cost + if(l.through IS NULL, s.transfer, 0) <= b.bound)
+  SELECT s.sid, least(min(l.cost), any_value(s.first)) + any_value(s.slack) AS bound
+  FROM {{searches}} s LEFT JOIN {{hits}} l ON l.sid = s.sid
+  GROUP BY s.sid),
+ahead AS (
+  SELECT l.sid, r.route_id, r.sec, r.pos, r.hop * s.hop_weight AS own, l.place, l.through, r.marks,
+         s.dst, s.dmarks, s.transfer, s.hop_weight, s.step, s.tier, s.banned, s.ban, s.slack, b.bound,
+         l.cost, l.cost + if(l.through IS NULL, s.transfer, 0) AS board, l.rides
+  FROM {{frontier}} l
+  JOIN {{searches}} s ON l.sid = s.sid
+  JOIN bound b ON l.sid = b.sid
+  JOIN {{rail}} r ON l.place = r.place
+  WHERE l.through IS NULL OR l.through = r.route_id)
+SELECT sid, route_id, sec, pos, own, dst, dmarks, transfer, hop_weight, step, tier, banned, ban, slack, bound, board, rides
+FROM ahead
+WHERE bound IS NULL OR (board <= bound AND cost + {_rest("(through IS NOT NULL)", "place", "marks")} <= bound)
 """
 
 # One round. `f` is the cost of riding from the section's first stop up to and into a
@@ -144,12 +193,13 @@ WHERE l.fresh = 1
 # a ride from p back to q costs g(p) - g(q).
 _ROUND = """
 WITH scope AS (
-  SELECT sid, route_id, sec, any_value(dst) AS dst, any_value(transfer) AS transfer,
+  SELECT sid, route_id, sec, any_value(dst) AS dst, any_value(dmarks) AS dmarks, any_value(transfer) AS transfer,
          any_value(hop_weight) AS hop_weight, any_value(step) AS step, any_value(tier) AS tier,
-         any_value(banned) AS banned, any_value(ban) AS ban, any_value(bound) AS bound
+         any_value(banned) AS banned, any_value(ban) AS ban, any_value(slack) AS slack, any_value(bound) AS bound
   FROM {boards} GROUP BY sid, route_id, sec),
 line AS (
   SELECT c.sid, c.route_id, c.sec, r.pos, 0 AS kind, r.place, r.joint, c.dst, c.transfer, c.bound,
+         """ + _rest("r.joint", "r.place", "r.marks") + """ AS rest,
          r.hop * c.hop_weight AS hop, r.hop * c.hop_weight AS own,
          if(r.a IS NULL, 0, c.step + {extra}
             + if(c.tier IS NOT NULL AND r.prio > c.tier, c.ban, 0)
@@ -157,7 +207,7 @@ line AS (
          CAST(NULL AS BIGINT) AS board, CAST(NULL AS array<""" + RIDE + """>) AS rides
   FROM scope c JOIN {rail} r ON c.route_id = r.route_id AND c.sec = r.sec {delta_join}
   UNION ALL
-  SELECT sid, route_id, sec, pos, 1, NULL, false, dst, transfer, bound, 0, own, 0, board, rides
+  SELECT sid, route_id, sec, pos, 1, NULL, false, dst, transfer, bound, 0, 0, own, 0, board, rides
   FROM {boards}),
 ridden AS (
   SELECT *, sum(hop + toll) OVER onward AS f FROM line
@@ -173,46 +223,67 @@ best AS (
          back AS (PARTITION BY sid, route_id, sec ORDER BY pos DESC, kind
                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 reached AS (
-  SELECT sid, place, route_id, joint, pos, dst, transfer, bound,
+  SELECT sid, place, place <=> dst AS at_end, route_id, joint, pos, rest, bound,
          explode(array(struct(f + fore.c AS cost, fore.rides AS rides, fore.p AS p),
                        struct(aft.c - f + own AS cost, aft.rides AS rides, aft.p AS p))) AS way
   FROM best WHERE kind = 0),
 arrived AS (
-  SELECT sid, place,
+  SELECT sid, place, at_end,
          explode(if(joint, array(CAST(NULL AS BIGINT), route_id), array(CAST(NULL AS BIGINT)))) AS through,
-         way.cost AS cost, 1 AS fresh,
+         way.cost AS cost,
          concat(way.rides, array(struct(route_id, way.p AS p, pos AS q))) AS rides
   FROM reached
-  WHERE way.cost IS NOT NULL
-    AND (bound IS NULL OR way.cost + if(joint OR place <=> dst, 0, transfer) <= bound))
-SELECT sid, place, through, l.cost, l.fresh, l.rides
-FROM (SELECT sid, place, through, min(struct(cost, fresh, rides)) AS l
-      FROM (SELECT sid, place, through, cost, 0 AS fresh, rides FROM {labels} UNION ALL SELECT * FROM arrived)
-      GROUP BY sid, place, through)
+  WHERE way.cost IS NOT NULL AND (bound IS NULL OR way.cost + rest <= bound)),
+least AS (
+  SELECT sid, place, through, any_value(at_end) AND through IS NULL AS at_end, min(struct(cost, rides)) AS l
+  FROM arrived GROUP BY sid, place, through)
+SELECT n.sid, n.place, n.through, n.l.cost, n.at_end, n.l.rides
+FROM least n LEFT ANTI JOIN {settled} o
+  ON o.sid = n.sid AND o.place = n.place AND o.through <=> n.through AND o.cost <= n.l.cost
 """
 
+LABEL = f"sid string, place bigint, through bigint, cost bigint, at_end boolean, rides array<{RIDE}>"
+
+
+def _with_ends(searches: DataFrame, rail: DataFrame, charged: bool) -> DataFrame:
+    """Searches whose ends the network knows and no landmark tells apart, with ``dmarks``, the marks of
+    their target, and ``first``, what a way past a landmark costs at most (null: none, or edges are charged)."""
+    asked = searches.select(F.col("src").alias("place")).unionByName(searches.select(F.col("dst").alias("place"))).where("place is not null").distinct()
+    ends = rail.join(asked, "place", "left_semi").groupBy("place").agg(F.first("marks").alias("marks"))
+    known = (
+        searches.join(ends.select(F.col("place").alias("src"), F.col("marks").alias("smarks")), "src")
+        .join(ends.select(F.col("place").alias("dst"), F.col("marks").alias("dmarks")), "dst", "left")
+    )
+    split = F.expr("coalesce(exists(zip_with(smarks, dmarks, (x, y) -> (x.r is null) <> (y.r is null)), e -> e), false)")
+    bans = "if(tier is null, 0, ban) + if(size(banned) = 0, 0, ban)"
+    each = f"transfer * (x.r + y.r) + (hop_weight + step + {bans}) * (x.h + y.h)"
+    first = F.lit(None).cast("long") if charged else F.expr(f"array_min(zip_with(smarks, dmarks, (x, y) -> {each}))")
+    return known.where(~split).withColumn("first", first).select(*searches.columns, "dmarks", "first")
+
 
 def search(
-    searches: DataFrame, rail: DataFrame, deltas: DataFrame | None = None, max_rounds: int = 100_000
+    searches: DataFrame,
+    rail: DataFrame,
+    deltas: DataFrame | None = None,
+    max_rounds: int = 100_000,
+    watch: Callable[[DataFrame], None] = lambda frontier: None,
 ) -> DataFrame:
-    """Labels ``(sid, place, through, cost, fresh, rides)`` of all searches, settled.
+    """Labels ``(sid, place, through, cost, rides)`` of all searches, settled.
 
-    ``through`` is null for the label of the place itself. ``fresh`` marks labels the last
-    round improved; no literal changes from round to round, so compiled code is reused.
+    ``through`` is null for the label of the place itself. ``watch`` is shown every frontier as it
+    was written. No literal changes from round to round, so compiled code is reused.
     """
-    labels = cut(
-        searches.select(
-            "sid",
-            F.col("src").alias("place"),
-            F.lit(None).cast("long").alias("through"),
-            F.lit(0).cast("long").alias("cost"),
-            F.lit(1).alias("fresh"),
-            F.expr(f"cast(array() as array<{RIDE}>)").alias("rides"),
-        ).join(rail.select("place").distinct(), "place", "left_semi")
-        .select("sid", "place", "through", "cost", "fresh", "rides"),
-        "labels",
-    )
     spark = searches.sparkSession
+    asked = cut(_with_ends(searches, rail, deltas is not None), "searches")
+    start = asked.select(
+        F.col("sid").cast("string").alias("sid"),
+        F.col("src").alias("place"),
+        F.lit(None).cast("long").alias("through"),
+        F.lit(0).cast("long").alias("cost"),
+        F.col("src").eqNullSafe(F.col("dst")).alias("at_end"),
+        F.expr(f"cast(array() as array<{RIDE}>)").alias("rides"),
+    )
+    fronts = [cut(start, "frontier")]
     costly = {} if deltas is None else {"deltas": deltas}
     joined = "" if deltas is None else (
         "LEFT JOIN {deltas} d ON c.sid = d.sid AND r.a = d.a AND r.b = d.b"
@@ -221,17 +292,18 @@ def search(
         "{extra}", "0" if deltas is None else "coalesce(d.delta, 0)"
     )
     for _ in range(max_rounds):
+        settled = written(fronts, LABEL)
         boards = cut(
-            spark.sql(_BOARDS, labels=labels, searches=searches, rail=rail), "boards"
+            spark.sql(_BOARDS, frontier=fronts[-1], hits=settled.where("at_end"), searches=asked, rail=rail), "boards"
         )
         if boards.isEmpty():
-            retire(boards)
+            best = settled.groupBy("sid", "place", "through").agg(F.min(F.struct("cost", "rides")).alias("l"))
+            labels = cut(best.select("sid", "place", "through", "l.cost", "l.rides"), "labels")
+            retire(boards, asked, *fronts)
             return labels
-        grown = cut(
-            spark.sql(step, boards=boards, labels=labels, rail=rail, **costly), "labels"
-        )
-        retire(labels, boards)
-        labels = grown
+        fronts.append(cut(spark.sql(step, boards=boards, settled=settled, rail=rail, **costly), "frontier"))
+        watch(fronts[-1])
+        retire(boards)
     raise NotConverged(f"search still improving after {max_rounds} rounds")
 
 

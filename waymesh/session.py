@@ -68,6 +68,12 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     return written
 
 
+def written(frames: list[DataFrame], schema: str) -> DataFrame:
+    """Tables written by :func:`cut` as one, read where they lie."""
+    spark = frames[0].sparkSession
+    return spark.read.schema(schema).parquet(*[frame._waymesh_path for frame in frames])
+
+
 def retire(*frames: DataFrame | None) -> None:
     """Delete tables written by :func:`cut` that no later step reads."""
     for frame in frames:
