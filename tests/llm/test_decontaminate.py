@@ -20,7 +20,7 @@ def brute(text, items, threshold=0.8):
         if not theirs:
             continue
         if len(theirs) < 5:
-            if own == theirs:
+            if any(own[k : k + len(theirs)] == theirs for k in range(len(own))):
                 found.add(item_id)
             continue
         bag = Counter(tuple(theirs[k : k + 5]) for k in range(len(theirs) - 4))
@@ -54,7 +54,7 @@ def cases():
             at = rng.randrange(len(body) + 1)
             body[at:at] = leak
         docs.append((i, " ".join(body).capitalize() + "."))
-    docs += [(200, None), (201, ""), (202, "Only two!"), (203, "only two more"), (None, items[3][1]), (204, items[5][1] + " " + items[5][1])]
+    docs += [(200, None), (201, ""), (202, "Only two!"), (203, "here are only two more, only two"), (208, "only one two"), (None, items[3][1]), (204, items[5][1] + " " + items[5][1])]
     docs += [(205, "rep " * 5000), (206, " ".join(items[7][1].split()[:-1])), (207, items[8][1]), (207, items[8][1])]
     return docs, items
 
@@ -70,6 +70,7 @@ def test_like_brute_force(spark, docs_of):
     exact = {r.doc_id: r for r in rows if r.doc_id == 207}
     assert exact[207].start_word == 0 and exact[207].similarity == 1.0
     assert sum(r.doc_id == 207 for r in rows) == 2
+    assert sorted((r.start_word, r.n_words) for r in rows if r.doc_id == 203) == [(2, 2), (5, 2)]
     parts = dc.find_leaks(docs_of(docs), table, part_items=9).collect()
     assert sorted(map(repr, parts)) == sorted(map(repr, rows))
 

@@ -88,7 +88,7 @@ class Benchmark:
     ids: list[int | None]
     bags: list[Counter]
     sizes: dict[int, SizeIndex]
-    short: dict[int, list[int]]
+    short: dict[int, dict[int, list[int]]]
     grams: np.ndarray
     sieve: np.ndarray
     threshold: float
@@ -101,8 +101,9 @@ class Benchmark:
             grams = gram_sequence(text)
             if not len(grams):
                 continue
-            if len(grams) == 1 and len(gram_sequence(text, 1)) < WORDS:
-                short.setdefault(int(grams[0]), []).append(len(ids))
+            count = len(gram_sequence(text, 1)) if len(grams) == 1 else WORDS
+            if count < WORDS:  # its one n-gram has so many words
+                short.setdefault(count, {}).setdefault(int(grams[0]), []).append(len(ids))
             else:
                 by_size.setdefault(len(grams), []).append((len(ids), simhash(grams)))
             ids.append(item_id)
@@ -133,14 +134,11 @@ class Benchmark:
         grams = gram_sequence(text)
         if not len(grams) or not len(self.grams):
             return []
-        if len(grams) == 1 and int(grams[0]) in self.short:
-            count = len(gram_sequence(text, 1))
-            return [(i, 0, count, 1.0) for i in self.short[int(grams[0])]]
+        found = self._short_leaks(text)
         hits = self.hits(grams)
         if not hits.any():
-            return []
+            return sorted(found)
         before = np.concatenate([[0], np.cumsum(hits)])
-        found: list[tuple[int, int, int, float]] = []
         for size, index in self.sizes.items():
             width = min(size, len(grams))  # a document a little shorter than the item is one window
             need = math.ceil(self.threshold * size - 1e-9)
@@ -149,6 +147,17 @@ class Benchmark:
                 found += self._stretch(grams, run, width, index)
         return sorted(found)
 
+    def _short_leaks(self, text: str) -> list[tuple[int, int, int, float]]:
+        """Items of fewer words than an n-gram, wherever the text holds just these words; one place of each stretch."""
+        found = []
+        for count, items in self.short.items():
+            grams = gram_sequence(text, count)
+            for gram in set(grams.tolist()) & items.keys():
+                starts = np.flatnonzero(grams == np.uint64(gram))
+                firsts = starts[np.concatenate([[True], np.diff(starts) >= count])]
+                found += [(item, int(start), count, 1.0) for item in items[gram] for start in firsts]
+        return found
+
     def _stretch(self, grams: np.ndarray, run: np.ndarray, width: int, index: SizeIndex) -> list[tuple[int, int, int, float]]:
         best: dict[int, tuple[float, int]] = {}
         for lo in range(0, len(run), 4096):
@@ -201,7 +210,8 @@ def find_leaks(
 
     One row for each row of ``docs``, item and stretch of overlapping windows that match: the
     best window, the first of equals. Clean documents give no rows, nor do null and empty texts
-    or items. An item of fewer than five words is found only in a document of just these words.
+    or items. An item of fewer than five words is found where a text holds
+    just these words one after another.
     Repeated rows of either table give repeated rows; further columns are ignored.
     """
     texts = id_and_text(docs, id_col, text_col)

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from waymesh.llm.common import held_out, id_and_text, map_rows
 from waymesh.session import cut, retire
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Fractions, powers, numbered signs and the like, which count as word characters but are no letters.
+NUMBER_SIGNS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMBER_SIGNS}]+")
 UNDETERMINED = "und"
 LONGEST_GRAM = 5
 #: The model is fitted on about so many labelled rows of each language, picked by a hash of the id.

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymesh.llm.common import id_and_text, map_rows, sift, sorted_groups
-from waymesh.session import NotConverged, cut, retire
+from waymesh.operators.insights import components as reach
+from waymesh.session import cut, retire
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -278,30 +279,14 @@ def linked_in_cluster(threshold: float):
     return work
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``key, root``: the smallest key of everything linked to a key by ``edges(a, b)``.
 
-    Every round hangs each key's larger neighbours and itself on its smallest one, then the
-    same in reverse; rounds are written, so a lost executor costs a task.
+    Minima are taken before rows are dealt by key, so the key of a large cluster, which all its
+    links meet in, costs a row a task.
     """
-    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    for _ in range(most_rounds):
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(large.where("a <> b").distinct(), "large")
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        after = cut(small.unionByName(small_least.select("a", F.col("m").alias("b"))).distinct(), "small")
-        sums = [
-            f.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for f in (links, after)
-        ]
-        retire(links, large)
-        links = after
-        if tuple(sums[0]) == tuple(sums[1]):
-            roots = links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "key")
-            return roots.unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
-    raise NotConverged(f"components: {most_rounds} rounds")
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    return reach(ends, edges).select(F.col("node").alias("key"), F.col("component").alias("root"))
 
 
 def ngram_join(
@@ -383,6 +368,7 @@ def ngram_rows(
     linked = cut(linked, "linked")
     counts = linked.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     classes = components(linked.select("a", "b"))
+    retire(wanted)
 
     known = sets.select("key", "first", "no_id", "n_copies").join(classes, "key", "left").join(counts, "key", "left")
     known = cut(known.withColumn("root", F.coalesce("root", "key")), "known")
