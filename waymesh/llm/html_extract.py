@@ -194,8 +194,11 @@ class Opened:
             self.at[self.stack.pop().tag].pop()
 
 
-def tree_of(source: str, lifted: bool = False) -> Node:
-    """The tree of a page by its marks; tags left open or closed twice do no harm, nor does any depth."""
+def tree_of(source: str, lifted: bool = False, marks: bool = True) -> Node:
+    """The tree of a page by its marks; tags left open or closed twice do no harm, nor does any depth.
+
+    Without ``marks`` no element is judged and none is told from others by its names.
+    """
     opened = Opened(Node("html", "html", "html", 0, 0, False))
     at = 0
 
@@ -220,17 +223,20 @@ def tree_of(source: str, lifted: bool = False) -> Node:
             place = opened.last(open_)
             if place and place > max(map(opened.last, FENCES.get(open_, ("button", "table", "td", "th", "object")))):
                 opened.close(place)
-        given = attributes_of(match[4])
         parent = opened.top
-        first = PART.search(given.get("class", "") or given.get("id", ""))
-        name = f"{tag}.{first[0].lower()}" if first and tag not in INLINE else tag
-        inside = parent.inside or tag in MAIN
-        keeps_heading = tag in HEADINGS and parent.tag == "header" and parent.inside
-        mark = 0 if keeps_heading else max(parent.mark, mark_of(tag, given, parent.inside, lifted))
-        if tag in MAIN and mark <= (FOREIGN if lifted else LAYOUT):
-            mark = 0
-        path = f"{parent.path}/{name}" if parent.depth < PATH_DEPTH else parent.path
-        node = Node(tag, name, path, parent.depth + 1, mark, inside)
+        if not marks:
+            node = Node(tag, tag, parent.path, parent.depth + 1, 0, False)
+        else:
+            given = attributes_of(match[4])
+            first = PART.search(given.get("class", "") or given.get("id", ""))
+            name = f"{tag}.{first[0].lower()}" if first and tag not in INLINE else tag
+            inside = parent.inside or tag in MAIN
+            keeps_heading = tag in HEADINGS and parent.tag == "header" and parent.inside
+            mark = 0 if keeps_heading else max(parent.mark, mark_of(tag, given, parent.inside, lifted))
+            if tag in MAIN and mark <= (FOREIGN if lifted else LAYOUT):
+                mark = 0
+            path = f"{parent.path}/{name}" if parent.depth < PATH_DEPTH else parent.path
+            node = Node(tag, name, path, parent.depth + 1, mark, inside)
         parent.parts.append(node)
         if tag in VOID or match[4].endswith("/") and tag not in RAW:
             continue

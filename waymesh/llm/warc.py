@@ -23,13 +23,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from waymesh.llm.common import map_frames, map_rows
-from waymesh.llm.html_extract import RAW, TAG, blocks_of, parse, raw_end
+from waymesh.llm.html_extract import RAW, blocks_of, tree_of
 
 VERSION = "WARC/1.1"
 #: The date of responses made from tables that have none.
 NO_DATE = "1970-01-01T00:00:00Z"
 
 HREF = re.compile(r"(?:^|\s)href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Comments; elements whose contents are no markup; links and bases with their attributes.
+LINKING = re.compile(
+    rf"<!--.*?(?:-->|$)|<({'|'.join(sorted(RAW))})\b[^>]*>(.*?)(?:</\1\b|$)|<(a|base)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S
+)
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9._:-]+)", re.I)
 
 
@@ -165,21 +169,15 @@ def title_and_links(page: str, target: str) -> tuple[str, list[str]]:
 
     What stands in comments, scripts and the like is no link.
     """
-    title, base, links, at = None, None, {}, 0
-    while match := TAG.search(page, at):
-        at = match.end()
-        tag = (match[3] or "").lower()
-        if not tag or match[2]:
-            continue
-        if tag in RAW:
-            close = raw_end(tag).search(page, at)
-            if tag == "title" and title is None:
-                title = one_line(html.unescape(page[at : close.start() if close else len(page)]))
-            at = close.end() if close else len(page)
-        elif tag in ("a", "base"):
+    title, base, links = None, None, {}
+    for match in LINKING.finditer(page):
+        if match[1]:
+            if title is None and match[1].lower() == "title":
+                title = one_line(html.unescape(match[2]))
+        elif match[3]:
             href = HREF.search(match[4])
             link = one_line(html.unescape(href[1] or href[2] or href[3] or "")) if href else ""
-            if link and tag == "a":
+            if link and match[3].lower() == "a":
                 links.setdefault(link)
             elif link and base is None:
                 base = link
@@ -189,16 +187,16 @@ def title_and_links(page: str, target: str) -> tuple[str, list[str]]:
 
 def plain_text(page: str) -> str:
     """All visible text, a line for each block."""
-    return "\n".join(blocks_of(parse(page), marked_too=True))
+    return "\n".join(blocks_of(tree_of(page, marks=False), marked_too=True))
 
 
 def one_line(text: str) -> str:
     return " ".join(text.split())
 
 
-def derivatives(record: Record) -> list[Record]:
-    """The metadata and the conversion record of a response record."""
-    response = http_response(record.block)
+def derivatives(record: Record, response: Response | None = None) -> list[Record]:
+    """The metadata and the conversion record of a response record, whose block may have been read already."""
+    response = response or http_response(record.block)
     kind = (response.get("content-type") or "html").lower()
     page = response.text() if "html" in kind and response.decoded else None
     text = plain_text(page) if page is not None else response.text() if kind.startswith("text/") and response.decoded else ""
@@ -313,8 +311,9 @@ def derive(responses: DataFrame, id_col: str = "page_id", record_col: str = "rec
             rows = []
             for page_id, raw in zip(batch["page_id"], batch["record"], strict=True):
                 source = next(read_records(io.BytesIO(bytes(raw or b""))), Record())
-                payload = digest(http_response(source.block).payload)
-                for made in derivatives(source):
+                response = http_response(source.block)
+                payload = digest(response.payload)
+                for made in derivatives(source, response):
                     names = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "Content-Type")
                     fields = [made.get(n) for n in names]
                     digests = [made.get("WARC-Block-Digest"), payload]
