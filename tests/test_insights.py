@@ -5,6 +5,7 @@ from nets import Net
 from pyspark.sql import functions as F
 
 from waymesh.operators import fill, insights, network as nw
+from waymesh.operators.articulation import articulation_points
 
 
 def naive_components(nodes, pairs):
@@ -32,7 +33,7 @@ def test_components_and_articulation_by_removal(spark):
         comp = {r.place: r.component for r in insights.place_components(n.net.edges, n.net.degree).collect()}
         want = naive_components(nodes, pairs)
         assert comp == want
-        cuts = {r.place for r in insights.articulation_points(n.net.edges, n.net.degree).collect()}
+        cuts = {r.place for r in articulation_points(n.net.edges, n.net.degree).collect()}
         brute = set()
         for v in nodes:
             left = [x for x in nodes if x != v]

@@ -1,4 +1,4 @@
-"""Network diagnostics (K1-K8)."""
+"""Network diagnostics (K1, K3-K8); K2 is in ``articulation.py``."""
 
 from __future__ import annotations
 
@@ -57,104 +57,6 @@ def place_components(edge_rows: DataFrame, places: DataFrame) -> DataFrame:
     return components(places.select(F.col("place").alias("node")), edge_rows).withColumnRenamed("node", "place")
 
 
-def _levels(edge_rows: DataFrame, comp: DataFrame, max_rounds: int) -> tuple[DataFrame, int]:
-    """Breadth-first trees from every component's smallest place: ``(place, parent, level)``."""
-    near = cut(nw.neighbour_rows(edge_rows), "near")
-    seen = cut(
-        comp.where("place = component").select("place", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level")),
-        "tree",
-    )
-    for level in range(1, max_rounds + 1):
-        tip = seen.where(F.col("level") == F.lit(level - 1)).select("place")
-        step = cut(
-            tip.join(near, "place")
-            .groupBy(F.col("neighbour").alias("n"))
-            .agg(F.min("place").alias("parent"))
-            .join(seen.select(F.col("place").alias("n")), "n", "left_anti")
-            .select(F.col("n").alias("place"), "parent", F.lit(level).alias("level")),
-            "tip",
-        )
-        if step.isEmpty():
-            return seen, level - 1
-        grown = cut(seen.unionByName(step), "tree")
-        retire(seen, step)
-        seen = grown
-    raise NotConverged(f"tree still growing after {max_rounds} rounds")
-
-
-def articulation_points(edge_rows: DataFrame, places: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """K2: places whose removal splits their component: ``(place)``.
-
-    Edges lie on a common cycle exactly when they share a block, and a place in two blocks
-    is an articulation point. In a breadth-first tree an edge outside the tree joins places
-    of the same or the next level, so its cycle climbs both sides in step until the sides
-    meet. Tree edges, named by their lower place, that one cycle covers are joined; the
-    components of that relation are the blocks. Climbs that come together go on as one, so
-    each pair of places is looked at once per level.
-    """
-    comp = place_components(edge_rows, places)
-    tree, depth = _levels(edge_rows, comp, max_rounds)
-    up = tree.where("parent is not null").select("place", "parent", "level")
-    pairs = nw.links(edge_rows)
-    in_tree = up.select(F.least("place", "parent").alias("a"), F.greatest("place", "parent").alias("b"))
-    level = tree.select("place", "level")
-    outside = (
-        pairs.join(in_tree, ["a", "b"], "left_anti")
-        .join(level.select(F.col("place").alias("a"), F.col("level").alias("la")), "a")
-        .join(level.select(F.col("place").alias("b"), F.col("level").alias("lb")), "b")
-    )
-    parent = up.select(F.col("place").alias("low"), F.col("parent").alias("above"))
-    # Sides on different levels first climb one step on the lower side.
-    low = F.when(F.col("la") > F.col("lb"), F.col("a")).otherwise(F.col("b"))
-    high = F.when(F.col("la") > F.col("lb"), F.col("b")).otherwise(F.col("a"))
-    uneven = cut(
-        outside.where("la <> lb").select(low.alias("low"), high.alias("high"), F.least("la", "lb").alias("level")).join(parent, "low"),
-        "uneven",
-    )
-    even = outside.where("la = lb").select("a", "b", F.col("la").alias("level"))
-    start = cut(
-        even.unionByName(
-            uneven.select(F.least("above", "high").alias("a"), F.greatest("above", "high").alias("b"), "level")
-        ).distinct(),
-        "start",
-    )
-    joined = [
-        uneven.select(F.col("low").alias("a"), F.col("above").alias("b")),
-    ]
-    climbing = start.where("false").select("a", "b")
-    for at in range(depth, 0, -1):
-        here = cut(
-            climbing.unionByName(start.where(F.col("level") == F.lit(at)).select("a", "b")).distinct(), "here"
-        )
-        joined.append(here)
-        sides = (
-            here.join(parent.select(F.col("low").alias("a"), F.col("above").alias("pa")), "a")
-            .join(parent.select(F.col("low").alias("b"), F.col("above").alias("pb")), "b")
-            .where("pa <> pb")
-        )
-        sides = cut(sides, "sides")
-        joined.append(sides.select("a", F.col("pa").alias("b")))
-        joined.append(sides.select(F.col("b").alias("a"), F.col("pb").alias("b")))
-        climbing = sides.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-    bonds = joined[0]
-    for more in joined[1:]:
-        bonds = bonds.unionByName(more)
-    blocks = components(
-        up.select(F.col("place").alias("node")),
-        bonds.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-    )
-    ends = blocks.join(up.select(F.col("place").alias("node"), "parent"), "node")
-    return (
-        ends.select(F.col("node").alias("place"), "component")
-        .unionByName(ends.select(F.col("parent").alias("place"), "component"))
-        .distinct()
-        .groupBy("place")
-        .agg(F.count("*").alias("blocks"))
-        .where("blocks > 1")
-        .select("place")
-    )
-
-
 def top_hubs(degree: DataFrame, n: int = HUB_COUNT) -> DataFrame:
     """K3: the busiest places, ties by place."""
     return degree.where("degree > 0").orderBy(F.desc("degree"), "place").limit(n)

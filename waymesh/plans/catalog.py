@@ -25,6 +25,7 @@ from waymesh.operators import (
     tree,
     validate as va,
 )
+from waymesh.operators.articulation import articulation_points
 from waymesh.plans import shared as sh
 from waymesh.plans import tables as tb
 from waymesh.session import cut
@@ -1263,7 +1264,7 @@ def _(spark, sf):
 
 def _articulation(spark, sf) -> DataFrame:
     n = sh.net(spark, sf)
-    return sh.once("cuts", spark, sf, lambda: cut(insights.articulation_points(n.edges, n.degree), "cuts"))
+    return sh.once("cuts", spark, sf, lambda: cut(articulation_points(n.edges, n.degree), "cuts"))
 
 
 _CUT_PLACES = """,
