@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions import text as tx
+from waymesh.operators import registry as rg
 
 
 def run_rows(routes: DataFrame, key: list[str]) -> DataFrame:
@@ -73,12 +74,14 @@ def run_chips(routes: DataFrame, stops: DataFrame, key: list[str]) -> DataFrame:
 
 
 def labelled(chips: DataFrame, registry: DataFrame) -> DataFrame:
-    """Chips with their label by display name. ``registry(place_id, display)``."""
+    """Chips with their label by display name, a place without one by its number.
+    ``registry(place_id, display)``."""
     names = registry.select("place_id", "display")
+    shown = lambda name, place: F.coalesce(name, F.col(place).cast("string"))
     return (
-        chips.join(names.select(F.col("place_id").alias("origin"), F.col("display").alias("o")), "origin")
-        .join(names.select(F.col("place_id").alias("destination"), F.col("display").alias("d")), "destination")
-        .withColumn("label", F.concat_ws(" - ", "o", "d"))
+        chips.join(names.select(F.col("place_id").alias("origin"), F.col("display").alias("o")), "origin", "left")
+        .join(names.select(F.col("place_id").alias("destination"), F.col("display").alias("d")), "destination", "left")
+        .withColumn("label", F.concat_ws(" - ", shown("o", "origin"), shown("d", "destination")))
         .drop("o", "d")
     )
 
@@ -123,6 +126,42 @@ def route_records(routes: DataFrame, stops: DataFrame, key: list[str]) -> DataFr
     )
 
 
+#: A chip as it is shown: the type of an empty list of them.
+CHIPS = "array<struct<id:bigint,label:string,share:int,priority:int,startIndex:int,endIndex:int>>"
+
+
+def display_records(routes: DataFrame, stops: DataFrame, registry: DataFrame, key: list[str]) -> DataFrame:
+    """Whole records by display name, ``(key..., path, meta)``.
+
+    ``meta`` holds ``routeCount, match, priority, routes, legs``; every leg nests its own chips and
+    ``routes`` lists those of all legs in travel order. A leg without runs has no chips; a place
+    without a name shows its number. ``registry`` has ``place_id, name, group``.
+    """
+    named = rg.with_display(registry)
+    chip = F.struct(
+        F.col("route_id").cast("long").alias("id"), "label", "share", "priority",
+        F.col("start_index").alias("startIndex"), F.col("end_index").alias("endIndex"),
+    )
+    chips = labelled(run_chips(routes, stops, key), named).groupBy(*key, "leg").agg(
+        F.array_sort(F.collect_list(F.struct("run", chip.alias("chip")))).alias("sorted")
+    )
+    chips = chips.select(*key, "leg", F.transform("sorted", lambda e: e["chip"]).cast(CHIPS).alias("routes"))
+    paths = rg.translate(routes.select(*key, F.col("stops").alias("path")), registry, key, "path")
+    leg = F.struct(
+        F.get("path", F.col("start_index")).alias("start"), F.get("path", F.col("end_index")).alias("end"),
+        F.col("start_index").alias("startIndex"), F.col("end_index").alias("endIndex"), "match", "priority",
+        F.coalesce("routes", F.expr(f"cast(array() as {CHIPS})")).alias("routes"),
+    )
+    legs = leg_records(routes, key).join(chips, [*key, "leg"], "left").join(paths, key)
+    legs = legs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("leg", leg.alias("record")))).alias("sorted"))
+    legs = legs.select(*key, F.transform("sorted", lambda e: e["record"]).alias("legs"))
+    meta = F.struct(
+        F.col("route_count").alias("routeCount"), percent(F.col("q")).alias("match"), "priority",
+        F.flatten(F.transform("legs", lambda e: e["routes"])).alias("routes"), "legs",
+    )
+    return routes.select(*key, "route_count", "q", "priority").join(paths, key).join(legs, key).select(*key, "path", meta.alias("meta"))
+
+
 def path_nodes(routes: DataFrame, key: list[str]) -> DataFrame:
     """The places on each path."""
     return routes.select(*key, F.explode("stops").alias("place")).distinct()

@@ -23,6 +23,7 @@ from waymesh.operators import (
     search as se,
     select,
     tree,
+    trips,
     validate as va,
 )
 from waymesh.operators.articulation import articulation_points
@@ -1190,6 +1191,66 @@ def _(spark, sf):
     )
 
 
+@query("j4_display_records", SPLICES + "," + sh.REGISTRY_SQL + _BACK + """,
+ chip_runs AS (SELECT *, (SELECT min(s.route_id) FROM spans s WHERE s.chain_id = c.chain_id AND s.lo <= c.first AND c.last <= s.hi) AS route_id,
+   CAST(coalesce((SELECT max(r.priority) FROM ridden r WHERE r.chain_id = c.chain_id AND r.lo < c.last AND c.first < r.hi), 0) AS INT) AS priority FROM cut_runs c),
+ legs AS (SELECT chain_id, sum(length) AS length, count(DISTINCT route_id) AS routes, max(priority) AS worst,
+   CASE WHEN sum(length) = 0 THEN 1.0 / count(DISTINCT route_id) ELSE CAST(sum(length * length) AS DOUBLE) / sum(length) / sum(length) END AS hhi FROM chip_runs GROUP BY 1),
+ authored AS (SELECT route_id, arg_min(place, pos) AS head, arg_max(place, pos) AS tail FROM stops GROUP BY 1),
+ reach AS (SELECT chain_id, arg_min(place, k) AS s, arg_max(place, k) AS e, max(k) AS last FROM chain_stops GROUP BY 1)
+ SELECT c.chain_id, c.route_id AS id, CASE WHEN i.pos > j.pos THEN t.display || ' - ' || h.display ELSE h.display || ' - ' || t.display END AS label,
+   CAST(CASE WHEN g.length = 0 THEN 100 ELSE round_even(c.length / CAST(g.length AS DOUBLE) * 100, 0) END AS INT) AS share, c.priority,
+   CAST(c.first AS INT) AS start_index, CAST(c.last AS INT) AS end_index, x.display AS leg_start, y.display AS leg_end, CAST(r.last AS INT) AS leg_end_index,
+   CAST(round_even(g.hhi * 100, 0) AS INT) AS match, CAST(g.routes AS INT) AS route_count, g.worst AS route_priority
+ FROM chip_runs c JOIN legs g USING (chain_id) JOIN authored a USING (route_id)
+ JOIN chain_stops f ON f.chain_id = c.chain_id AND f.k = c.first JOIN chain_stops l ON l.chain_id = c.chain_id AND l.k = c.last
+ JOIN stops i ON i.route_id = c.route_id AND i.place = f.place JOIN stops j ON j.route_id = c.route_id AND j.place = l.place
+ JOIN reach r ON r.chain_id = c.chain_id JOIN registry h ON h.place_id = a.head JOIN registry t ON t.place_id = a.tail
+ JOIN registry x ON x.place_id = r.s JOIN registry y ON y.place_id = r.e""")
+def _(spark, sf):
+    # Spliced chains as trips of one leg, ranked by concentration alone.
+    routes = legs.one_leg(_scored(spark, sf).withColumn("q", F.col("hhi")))
+    shown = report.display_records(routes, sh.net(spark, sf).stops, sh.registry(spark, sf), ["chain_id"])
+    each = shown.select("chain_id", "meta", F.explode("meta.legs").alias("leg")).select("*", F.explode("leg.routes").alias("chip"))
+    return each.select(
+        "chain_id", "chip.id", "chip.label", "chip.share", "chip.priority",
+        F.col("chip.startIndex").alias("start_index"), F.col("chip.endIndex").alias("end_index"),
+        F.col("leg.start").alias("leg_start"), F.col("leg.end").alias("leg_end"), F.col("leg.endIndex").alias("leg_end_index"),
+        F.col("meta.match").alias("match"), F.col("meta.routeCount").alias("route_count"), F.col("meta.priority").alias("route_priority"),
+    )
+
+
+def _requests(spark, sf) -> DataFrame:
+    """The trips as typed: names with blanks around, the required stop among them."""
+    names = rg.with_display(sh.registry(spark, sf)).select("place_id", F.concat(F.lit(" "), "display", F.lit(" ")).alias("display"))
+    at = lambda place, name: names.select(F.col("place_id").alias(place), F.col("display").alias(name))
+    return (
+        sh.trips(spark, sf).withColumn("via_place", F.col("via")[0])
+        .join(at("start_place", "start"), "start_place").join(at("end_place", "end"), "end_place").join(at("via_place", "stop"), "via_place")
+        .select("qid", "start", "end", F.array(F.lit(" "), "stop").alias("via"))
+    )
+
+
+@query("c10_admitted_trips", OD + " SELECT qid, 'ok' AS status, start_place, end_place, via_place FROM od")
+def _(spark, sf):
+    return trips.admitted(_requests(spark, sf), sh.registry(spark, sf)).select(
+        "qid", "status", "start_place", "end_place", F.col("via")[0].alias("via_place")
+    )
+
+
+@query("a13_shown_results")
+def _(spark, sf):
+    # Typed names to display records: the pools are those of the same trips by id.
+    asked = cut(trips.admitted(_requests(spark, sf), sh.registry(spark, sf)), "asked")
+    n = sh.net(spark, sf)
+    direct = sh.plain_pool(spark, sf).join(
+        legs.normalise_via(asked).where("size(via) = 0").select("qid"), "qid", "left_semi"
+    )
+    closed = tb.closed_places(spark, sf, n.stops)
+    found = trips.shown_results(asked, direct, sh.via_pool(spark, sf), n.stops, sh.registry(spark, sf), closed)
+    return found.select("qid", "status", F.to_json("paths").alias("paths"), F.to_json("meta").alias("meta"), F.array_join("compromisedDetour", "|").alias("detour"))
+
+
 @query("j5_path_links", SPLICES + " SELECT DISTINCT chain_id, a, b FROM chain_hops")
 def _(spark, sf):
     edged = sh.splices(spark, sf).select("chain_id", ch.path_edges(F.col("stops")).alias("edges"))
