@@ -3,6 +3,8 @@ that must give the same rows where SQL can."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from waymesh.operators import (
 from waymesh.operators.articulation import articulation_points
 from waymesh.plans import shared as sh
 from waymesh.plans import tables as tb
-from waymesh.session import cut
+from waymesh.session import cut, scratch_root
 from waymesh.sources import documents as dc
 
 QUERIES: dict = {}
@@ -280,6 +282,21 @@ def _(spark, sf):
     return tree.upgrade(sh.trees(spark, sf)).select("route_idx", txt("node_path").alias("node_path"), _mark_text().alias("marks"))
 
 
+@query("a3_saved_routes", TREES + f""" SELECT {NODE}, places,
+ CASE WHEN rating = 1 AND node < 0 AND own >= 2 THEN '0-' || (own - 1) || '-1'
+      WHEN rating = 2 AND node = 0 THEN '0-' || (n - 2) || '-2'
+      WHEN rating = 3 AND n >= 3 AND node >= 0 THEN '0-' || (n - 2) || '-3'
+      WHEN rating = 3 AND n = 2 THEN '0-1-3' ELSE '' END AS marks FROM nodes WHERE n >= 2""")
+def _(spark, sf):
+    # All routes that the rules allow, saved into a new store and read back by name.
+    trees = sh.trees(spark, sf)
+    short = trees.groupBy("route_idx").agg(F.sum(F.size("places")).alias("n")).where("n < 2").select("route_idx")
+    store = dc.Store(spark, f"{scratch_root(spark)}/waymesh/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}")
+    if not store.save_routes(trees.join(short, "route_idx", "left_anti"), derive=False).isEmpty():
+        raise ValueError("a tree breaks the rules")
+    return store.load_routes().select("route_idx", txt("node_path").alias("node_path"), txt("places").alias("places"), _mark_text().alias("marks"))
+
+
 @query("b3_leaves", TREES + f" SELECT CAST(row_number() OVER (ORDER BY route_id, node) - 1 AS BIGINT) AS route_id, {NODE}, places FROM corridors")
 def _(spark, sf):
     return tree.leaves(sh.trees(spark, sf)).select("route_id", "route_idx", txt("node_path").alias("node_path"), txt("places").alias("places"))

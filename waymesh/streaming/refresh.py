@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from waymesh.operators import registry as rg
 from waymesh.operators import tree
 from waymesh.sources.documents import Store, document_violations, nodes_of, unfold
 from waymesh.session import cut
@@ -66,7 +65,7 @@ def apply_batch(batch: DataFrame, number: int, store: Store) -> None:
     fresh = cut(tree.upgrade(nodes_of(raw.join(bad, "route_idx", "left_anti"))), "fresh")
     if fresh.isEmpty():
         return
-    kept = rg.to_display(store.nodes(), store.registry()).join(
+    kept = store.load_routes().join(
         fresh.select("route_idx").distinct(), "route_idx", "left_anti"
     )
     left = store.save_routes(kept.unionByName(fresh))
