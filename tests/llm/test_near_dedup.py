@@ -85,6 +85,23 @@ def test_chains_and_groups_larger_than_a_block(found):
     assert found(rows, block_signatures=8, block=8) == plain(rows)
 
 
+def test_links_between_roots_of_one_size(docs_of):
+    """Two components of two texts each, linked by one pair alone, whole and in blocks."""
+    rng = random.Random(3)
+    words, rows = text(rng, 80), []
+    for i in range(4):
+        rows.append((i, " ".join(words)))
+        words = edited(rng, words, 2)
+    signatures = nd.Signatures(85)
+    texts = nd.id_and_text(docs_of(rows), "doc_id", "text")
+    sets = nd.described_sets(texts, 3, signatures).withColumn("id", nd.F.col("doc_id")).withColumnRenamed("doc_id", "first")
+    for root in ("if(id < 2, 0, 2)", "if(id < 3, 0, 3)", "if(id < 1, 0, 3)"):
+        rooted = sets.select(nd.F.lit(1).alias("bucket"), "id", nd.F.expr(f"cast({root} as long)").alias("root"))
+        for block in (1, 2, 8):
+            links = nd.links_left(rooted, sets, texts, signatures, 85, 3, block, 1 << 20, block)
+            assert len(links.collect()) == 1, (root, block)
+
+
 def test_every_pair_within_the_distance_shares_a_key():
     signatures = nd.Signatures(85)
     rng = np.random.default_rng(1)

@@ -253,10 +253,11 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: i
     return map_frames(rows.repartition("group").sortWithinPartitions("group", "side"), run, "a long, b long")
 
 
-def joined_outside_largest(roots: np.ndarray, near, wanted: np.ndarray) -> list[tuple[int, int]]:
+def joined_outside_largest(roots: np.ndarray, near) -> list[tuple[int, int]]:
     """Joins of different roots, until every row outside the largest component was compared with all.
 
-    ``near(i)`` says which rows row ``i`` is joined to; only rows of ``wanted`` need be compared.
+    ``near(i)`` says which rows row ``i`` is joined to. The largest component is that of these rows, whichever root is
+    the largest elsewhere: of two rows in different components one is always outside it.
     """
     names, tree = np.unique(roots, return_inverse=True)
     forest, made = Forest(np.arange(len(names))), []
@@ -264,7 +265,7 @@ def joined_outside_largest(roots: np.ndarray, near, wanted: np.ndarray) -> list[
     while True:
         tops = np.array([forest.top(int(t)) for t in range(len(names))])[tree]
         largest = np.bincount(tops).argmax()
-        left = np.flatnonzero(~done & wanted & (tops != largest))
+        left = np.flatnonzero(~done & (tops != largest))
         if not len(left):
             return made
         i = left[0]
@@ -351,10 +352,10 @@ def links_left(rows: DataFrame, sets: DataFrame, texts: DataFrame, signatures: S
             common = np.bincount(owner[at], minlength=len(sets_))
             return linked(common, sizes[i], sizes, percent)
 
-        return pd.DataFrame(joined_outside_largest(batch["root"].to_numpy(), near, batch["outside"].to_numpy(dtype=bool)), columns=["a", "b"])
+        return pd.DataFrame(joined_outside_largest(batch["root"].to_numpy(), near), columns=["a", "b"])
 
     meeting = dealt(members.select("cluster", "id", "root", "n"), "cluster", largest_roots(members, "cluster"), block, shingles)
-    meeting = with_sets(meeting.drop("n"), sets, texts, words).select("pair", "id", "root", "outside", "shingles")
+    meeting = with_sets(meeting.drop("n", "outside"), sets, texts, words).select("pair", "id", "root", "shingles")
     return sorted_groups(meeting, "pair", link, "a long, b long").distinct()
 
 
