@@ -1,3 +1,5 @@
+import re
+import time
 import zlib
 
 import pytest
@@ -41,3 +43,21 @@ def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
     got = [r for r in langid.predict_languages(docs).collect() if r.held_out]
     assert sum(r.lang_pred == truth[r.doc_id] for r in got) / len(got) > 0.98
+
+
+def test_words_are_runs_of_letters_at_the_cost_of_a_plain_expression():
+    plain = re.compile(r"[^\W\d_]+")
+    odd = "".join(map(chr, range(0x3000))) + " a½b Ⅷx ①②y z³ \U00010107q 中〇文"
+    own = re.compile(rf"[^\W\d_{langid.NUMBER_SIGNS}]+")
+    assert langid.words_of(odd) == own.findall(odd.lower())
+
+    def least(work):
+        seconds = []
+        for _ in range(7):
+            start = time.process_time()
+            work()
+            seconds.append(time.process_time() - start)
+        return min(seconds)
+
+    long = "das Haus über dem Garten, шум und 25 Wörter. " * 4000
+    assert least(lambda: langid.words_of(long)) < 3 * least(lambda: plain.findall(long.lower()))

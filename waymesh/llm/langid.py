@@ -21,7 +21,11 @@ from waymesh.session import cut, retire
 
 #: Fractions, powers, numbered signs and the like, which count as word characters but are no letters.
 NUMBER_SIGNS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NUMBER_SIGNS}]+")
+#: Signs are taken out beforehand: beside ``\W`` in one class, or beyond the basic plane, each would be tried for every letter.
+SIGN = re.compile("[" + "".join(c for c in NUMBER_SIGNS if c <= "\uffff") + "]")
+HIGH = re.compile("[\U00010000-\U0010ffff]")
+HIGH_SIGN = re.compile("[" + "".join(c for c in NUMBER_SIGNS if c > "\uffff") + "]")
+WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 LONGEST_GRAM = 5
 #: The model is fitted on about so many labelled rows of each language, picked by a hash of the id.
@@ -34,7 +38,12 @@ REMEMBERED = 150_000
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case."""
-    return WORD.findall(text.lower())
+    text = text.lower()
+    if not text.isascii():
+        text = SIGN.sub(" ", text)
+        if HIGH.search(text):
+            text = HIGH_SIGN.sub(" ", text)
+    return WORD.findall(text)
 
 
 @dataclass
