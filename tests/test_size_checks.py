@@ -4,6 +4,7 @@ import pathlib
 
 from pyspark.sql import functions as F
 
+from waymesh.operators import names
 from waymesh.plans import catalog
 from waymesh.session import COMPRESSION, cut, sized_as_rows
 
@@ -30,3 +31,11 @@ def test_a_factor_of_the_session_stays(spark):
 def test_returns_are_walked_without_a_union(spark):
     plan = optimized(catalog.QUERIES["f5_marked_edges_of_returns"](spark, "/root/testdata/sf0.001")).toString()
     assert plan.count("Union") == 1  # that of marked_edges itself
+
+
+def test_the_index_of_a_name_search_is_never_broadcast(spark):
+    options = cut(spark.createDataFrame([(1, "Old Mill Road 7"), (2, "New Bridge 12")], "ord long, option string"), "options")
+    queries = spark.createDataFrame([("a", "mill"), ("b", "'")], "qid string, query string")
+    for search in (names.strict_filter, names.fuzzy_filter):
+        plan = search(options, queries)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [gram" in plan and "BroadcastHashJoin [gram" not in plan
