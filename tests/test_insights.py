@@ -107,3 +107,19 @@ def test_hops_in_blocks(spark):
     for block in (1, 2, 3, 7):
         assert sorted(tuple(r) for r in nw.hops(n.net.stops, block).collect()) == whole
     assert n.net.degree.agg(F.sum("degree")).first()[0] == 14
+
+
+def test_few_pairs_are_joined_in_one_step_and_many_in_rounds(spark, monkeypatch):
+    rnd = random.Random(5)
+    pairs = [(i, i + 1) for i in range(20)] + [(rnd.randrange(30, 70), rnd.randrange(30, 70)) for _ in range(20)] + [(7, 7)]
+    nodes = spark.range(80).withColumnRenamed("id", "node")
+    rows = spark.createDataFrame(pairs, "a long, b long")
+    want = naive_components(range(80), pairs)
+    written = []
+    plain = insights.cut
+    monkeypatch.setattr(insights, "cut", lambda df, label="step": written.append(label) or plain(df, label))
+    assert {r.node: r.component for r in insights.components(nodes, rows).collect()} == want
+    assert written == ["labels", "live", "step", "labels"]
+    assert {r.node: r.component for r in insights.components(nodes, rows, few=0).collect()} == want
+    # The last rounds of many pairs are few pairs.
+    assert {r.node: r.component for r in insights.components(nodes, rows, few=10).collect()} == want

@@ -316,15 +316,18 @@ def links_left(rows: DataFrame, sets: DataFrame, texts: DataFrame, signatures: S
         ids, roots = batch["id"].to_numpy(), batch["root"].to_numpy()
         table = signatures.table(batch["signature"])
         names, at = np.unique(roots, return_inverse=True)
-        forest, ends = Forest(np.arange(len(names))), np.zeros(len(ids), dtype=bool)
+        top, ends = np.arange(len(names)), np.zeros(len(ids), dtype=bool)
         for i in np.flatnonzero(batch["outside"].to_numpy(dtype=bool)):
             near = ((table != table[i]).sum(axis=1) <= signatures.distance) & (roots != roots[i])
             if near.any():
                 ends |= near
                 ends[i] = True
-                for other in np.unique(at[near]):
-                    forest.join(int(at[i]), int(other))
-        out = [(a, b, None, None) for a, b in forest.stars(names)] + [(None, None, i, r) for i, r in zip(ids[ends], roots[ends], strict=True)]
+                met = top[at[near]]
+                if (met != top[at[i]]).any():  # most rows of a large group only meet what is joined already
+                    met = np.unique(np.append(met, top[at[i]]))
+                    top[np.isin(top, met)] = met[0]
+        joins = [(names[k], names[t], None, None) for k, t in enumerate(top) if k != t]
+        out = joins + [(None, None, i, r) for i, r in zip(ids[ends], roots[ends], strict=True)]
         return pd.DataFrame(out, columns=["a", "b", "id", "root"], dtype=object)
 
     sized = rows.withColumn("n", F.lit(0))
