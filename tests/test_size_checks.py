@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from waymesh.operators import names
 from waymesh.plans import catalog
-from waymesh.session import COMPRESSION, cut, sized_as_rows
+from waymesh.session import COMPRESSION, TASK_BYTES, cut, sized_as_rows
 
 
 def optimized(df):
@@ -39,3 +39,11 @@ def test_the_index_of_a_name_search_is_never_broadcast(spark):
     for search in (names.strict_filter, names.fuzzy_filter):
         plan = search(options, queries)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin [gram" in plan and "BroadcastHashJoin [gram" not in plan
+
+
+def test_tasks_are_given_few_shuffled_bytes_unless_the_session_says_otherwise(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    own = spark.newSession()
+    own.conf.set(name, "3m")
+    assert sized_as_rows(own).conf.get(name) == "3m"
+    assert spark.conf.get(name) == TASK_BYTES
