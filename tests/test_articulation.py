@@ -65,3 +65,21 @@ def test_a_long_chain_takes_few_rounds(spark):
 
 def test_nothing(spark):
     assert run(spark, [], [1, 2]) == set() == run(spark, [], [])
+
+
+def test_small_networks_take_no_rounds_and_large_ones_the_same_points(spark):
+    rng = random.Random(9)
+    pairs, nodes, want = set(), [], set()
+    for k in range(30):
+        size, base = rng.randint(2, 12), 1000 * k
+        names = [base + x for x in range(size)]
+        links = {tuple(sorted(rng.sample(names, 2))) for _ in range(int(1.4 * size))}
+        want |= cut_places(links, names)
+        pairs |= links
+        nodes += names
+    edges = spark.createDataFrame([(a, b, 0) for a, b in pairs], "a long, b long, route_id long")
+    places = spark.createDataFrame([(n,) for n in nodes], "place long")
+    for small in (4096, 8):
+        rounds = []
+        assert {r.place for r in ar.articulation_points(edges, places, rounds.append, small=small).collect()} == want
+        assert bool(rounds) == (small == 8)

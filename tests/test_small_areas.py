@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from nets import Net
 from test_search import random_routes
 
@@ -50,3 +51,31 @@ def test_sections_are_left_to_the_rounds(spark):
     comp = insights.place_components(n.net.edges, n.net.degree)
     rail = se.with_areas(se.rails(n.net, section=3), comp)
     assert {r.place for r in rail.where("area is not null").collect()} == {n.ids["X"], n.ids["Y"]}
+
+
+def test_ranges_join_what_lies_close_and_rounds_the_rest(spark):
+    rnd = random.Random(8)
+    # Short chains of near numbers, and a few pairs across all of them; chunks of the test hold few pairs.
+    pairs = [(10 * k + i, 10 * k + i + 1) for k in range(200) for i in range(rnd.randint(1, 8))]
+    pairs += [(10 * rnd.randrange(200), 10 * rnd.randrange(200)) for _ in range(60)]
+    nodes = sorted({n for p in pairs for n in p} | {5000, 5001})
+    root = {n: n for n in nodes}
+    for _ in range(len(nodes)):
+        moved = False
+        for a, b in pairs:
+            low = min(root[a], root[b])
+            moved |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+        if not moved:
+            break
+    rows = spark.createDataFrame(pairs, "a long, b long")
+    named = spark.createDataFrame([(n,) for n in nodes], "node long")
+    for few in (1 << 18, 0):
+        got = {r.node: r.component for r in insights.components(named, rows, few=few, close=True).collect()}
+        assert got == root
+
+
+def test_parts_of_a_range_are_bounded():
+    frame = pd.DataFrame({"a": range(0, 40, 2), "b": range(1, 41, 2)})
+    parts = list(insights._smallest_by_parts(iter([frame[i : i + 4] for i in range(0, 20, 4)]), most=8))
+    assert [len(p) for p in parts] == [16, 16, 8]

@@ -10,12 +10,15 @@
 4. Tree edges, named by their lower place, belong to one block if an edge outside the tree joins
    unrelated places below them, or leads from under the one past the other. Places in two blocks
    are the points. This holds for any spanning tree.
+
+Components of at most ``SMALL`` edges need none of it: each is walked depth first by the task that holds it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ from waymesh.session import NotConverged, cut, retire
 Watch = Callable[[str], None]
 #: Before every place of a tour: when its root is entered.
 BEGIN = -(1 << 62)
+#: Edges of a component up to which one task walks it. A bound whatever the input.
+SMALL = 4096
 
 
 def quiet(step: str) -> None:
@@ -138,10 +143,72 @@ def stretch_ends(values: DataFrame, stretches: DataFrame, watch: Watch = quiet)
     return _together(found) if found else asked.select("place", F.col("enter").alias("low"), F.col("leave").alias("high")).where("false")
 
 
-def articulation_points(edge_rows: DataFrame, places: DataFrame, watch: Watch = quiet, max_rounds: int = 1000) -> DataFrame:
-    """K2: places whose removal splits their component: ``(place)``. ``watch`` is told of every round."""
-    pairs = cut(nw.links(edge_rows).select("a", "b"), "pairs")
-    comp = components(places.select(F.col("place").alias("node")), pairs).select(F.col("node").alias("place"), "component")
+def split_places(pairs: list[tuple[int, int]]) -> set[int]:
+    """The articulation points of a few ``pairs``, each once: a place is one if a branch below it leads nowhere above it."""
+    near: dict[int, list[int]] = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    enter: dict[int, int] = {}
+    low: dict[int, int] = {}
+    found: set[int] = set()
+    for root in near:
+        if root in enter:
+            continue
+        enter[root] = low[root] = len(enter)
+        branches, way = 0, [(root, None, iter(near[root]))]
+        while way:
+            place, parent, rest = way[-1]
+            for other in rest:
+                if other not in enter:
+                    enter[other] = low[other] = len(enter)
+                    way.append((other, place, iter(near[other])))
+                    break
+                if other != parent:
+                    low[place] = min(low[place], enter[other])
+            else:
+                way.pop()
+                if parent is not None:
+                    low[parent] = min(low[parent], low[place])
+                    if parent == root:
+                        branches += 1
+                    elif low[place] >= enter[parent]:
+                        found.add(parent)
+        if branches > 1:
+            found.add(root)
+    return found
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found: list[int] = []
+        for pairs in batch.column("pairs"):
+            found += split_places([(e["a"], e["b"]) for e in pairs.as_py()])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["place"])
+
+
+def articulation_points(
+    edge_rows: DataFrame, places: DataFrame, watch: Watch = quiet, max_rounds: int = 1000, small: int = SMALL, comp: DataFrame | None = None
+) -> DataFrame:
+    """K2: places whose removal splits their component: ``(place)``. ``watch`` is told of every round.
+
+    ``comp(place, component)`` are the components, if they are there already.
+    """
+    pairs = nw.links(edge_rows).select("a", "b")
+    if comp is None:
+        pairs = cut(pairs, "pairs")
+        comp = components(places.select(F.col("place").alias("node")), pairs, close=True).select(F.col("node").alias("place"), "component")
+    named = cut(pairs.join(comp.withColumnRenamed("place", "a"), "a").select("component", "a", "b"), "named")
+    large = cut(named.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > small).select("component"), "large")
+    own = named.join(large, "component", "left_anti").groupBy("component").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    found = cut(own.select("pairs").mapInArrow(_split, "place bigint"), "found")
+    if not large.isEmpty():
+        of_large = cut(named.join(large, "component", "left_semi").select("a", "b"), "pairs")
+        found = found.unionByName(_points_by_rounds(of_large, comp, watch, max_rounds))
+    return found
+
+
+def _points_by_rounds(pairs: DataFrame, comp: DataFrame, watch: Watch, max_rounds: int) -> DataFrame:
     forest = spanning_forest(pairs, watch, max_rounds)
     below = tour(forest, comp, watch, max_rounds)
     # Roots are entered before and left after everything.
