@@ -95,7 +95,7 @@ def best_order(trips: DataFrame, ready: Prepared, most_optimized: int | None = N
     probes = cut(
         se.plain_searches(asked, F.concat_ws("|", "src", "dst"), transfer=0, hop_weight=0, step=1), "probes"
     )
-    got = se.found(se.search(probes, ready.rail), probes).join(probes.select("sid", "src", "dst"), "sid")
+    got = se.found(se.search(probes, ready.rail, ends_alone=True), probes).join(probes.select("sid", "src", "dst"), "sid")
     priced = (
         pairs.join(got.select("src", "dst", "cost"), ["src", "dst"])
         .groupBy("qid")
